@@ -6,18 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What Python treats as whitespace and as line ends.
-BLANK = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 NEWLINE = r"\n"
 TEXT_MODE_NEWLINE = r"\r\n|\n|\r"
 UNICODE_NEWLINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def right_strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<!{BLANK}){BLANK}++\z", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{BLANK}++|(?<!{BLANK}){BLANK}++\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def split_lines(text: Column, line_end: str = NEWLINE) -> Column:

@@ -15,9 +15,10 @@ from skein.functions.text import strip
 from skein.session import cut, fits_broadcast
 from skein.sources.lines import numbered_lines, searchable
 
-# Up to this many patterns are tested as expressions in one pass over the lines.
+# Patterns tested as expressions in one pass over the lines, and the number of them up to which
+# such passes cost less than expanding every line into substrings.
 PATTERNS_PER_PASS = 64
-MATCH = ["file_path", "line_start", "match_text"]
+PATTERNS_AS_EXPRESSIONS = 1024
 
 
 def search_scope(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -29,9 +30,10 @@ def search_scope(files: DataFrame, include: Sequence[str] = (), exclude: Sequenc
     return searchable(files.select("file_path", "text"))
 
 
-def _record(lines: DataFrame, *keys: str) -> DataFrame:
-    return lines.select(
-        *keys, "file_path", F.col("line_no").alias("line_start"), strip(F.col("text")).alias("match_text")
+def _shown(found: DataFrame, *keys: str) -> DataFrame:
+    """The answer columns; stripping comes last, when the limit has been applied."""
+    return found.select(
+        *keys, "file_path", "line_start", strip(F.col("text")).alias("match_text"), F.lit("grep").alias("source")
     )
 
 
@@ -53,10 +55,11 @@ def grep(
     whole = may_match_file(F.col("text"), pattern, dialect)
     if whole is not None:
         scope = scope.filter(whole)
-    found = _record(numbered_lines(scope).filter(matches(F.col("text"), pattern, dialect)))
+    found = numbered_lines(scope).filter(matches(F.col("text"), pattern, dialect))
+    found = found.withColumnRenamed("line_no", "line_start")
     if limit is not None:
         found = found.orderBy("file_path", "line_start").limit(limit)
-    return found.withColumn("source", F.lit("grep"))
+    return _shown(found)
 
 
 def _match_as_expressions(scope: DataFrame, patterns: Sequence[str], dialect: str) -> DataFrame:
@@ -66,39 +69,39 @@ def _match_as_expressions(scope: DataFrame, patterns: Sequence[str], dialect: st
     if patterns and all(c is not None for c in coarse):
         scope = scope.filter(reduce(Column.__or__, coarse))
     hit = F.array_compact(F.array(*[F.when(matches(text, p, dialect), F.lit(p)) for p in patterns]).cast("array<string>"))
-    return _record(numbered_lines(scope).withColumn("pattern", F.explode(hit)), "pattern")
+    return numbered_lines(scope).withColumn("pattern", F.explode(hit))
 
 
-def all_grams(text: Column, lengths: Sequence[int]) -> Column:
-    """Distinct substrings of ``text`` that have one of the ``lengths``."""
-    overlapping = [
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit("")) for n in lengths
-    ]
-    return F.array_distinct(F.flatten(F.array(*overlapping)))
+def grams(text: Column, length: Column | int) -> Column:
+    """Distinct substrings of ``text`` with ``length`` characters."""
+    window = F.concat(F.lit("(?s)(?=(.{"), F.lit(length).cast("string"), F.lit("}))"))
+    return F.array_distinct(F.regexp_extract_all(text, window, F.lit(1)))
 
 
 def _match_as_join(scope: DataFrame, literals: DataFrame) -> DataFrame:
     """Any number of literals: the substrings of a line that have a literal's length, equi-joined with the literals."""
-    lengths = [row[0] for row in literals.select(F.char_length("pattern")).distinct().collect()]
+    lengths = sorted(row[0] for row in literals.select(F.char_length("pattern")).distinct().collect())
     if not lengths:
         return _match_as_expressions(scope, [], "literal")
     small = F.broadcast(literals) if fits_broadcast(literals) else literals
-    lines = numbered_lines(scope).withColumn("pattern", F.explode(all_grams(F.col("text"), sorted(lengths))))
+    # one row per line and length, so that a long line is not expanded for all lengths at once
+    lines = numbered_lines(scope).withColumn("_length", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    expanded = lines.withColumn("pattern", F.explode(grams(F.col("text"), F.col("_length")))).drop("_length")
     # a regex walks UTF-16 units and may cut a pair of them: test again on the text itself
-    found = lines.join(small, "pattern").filter(F.contains("text", F.col("pattern")))
-    return _record(found, "pattern")
+    return expanded.join(small, "pattern").filter(F.contains("text", F.col("pattern")))
 
 
 def match_patterns(scope: DataFrame, patterns: DataFrame, dialect: str) -> DataFrame:
-    """All matches of a table of distinct ``pattern`` values: ``pattern, file_path, line_start, match_text``.
+    """All matches of a table of distinct ``pattern`` values: ``pattern, file_path, line_no, text``.
 
-    A few patterns become expressions of one pass. Beyond that, literals are equi-joined and real
-    regexes are taken in pages of bounded size, one pass each.
+    Up to ``PATTERNS_AS_EXPRESSIONS`` patterns are tested as expressions, a page of them per pass. Beyond
+    that, literals are equi-joined and only real regexes are paged.
     """
     patterns = patterns.filter(F.isnotnull("pattern"))
-    few = [row[0] for row in patterns.limit(PATTERNS_PER_PASS + 1).collect()]
-    if len(few) <= PATTERNS_PER_PASS:
-        return _match_as_expressions(scope, sorted(few), dialect)
+    few = sorted(row[0] for row in patterns.limit(PATTERNS_AS_EXPRESSIONS + 1).collect())
+    if len(few) <= PATTERNS_AS_EXPRESSIONS:
+        pages = [few[at : at + PATTERNS_PER_PASS] for at in range(0, len(few), PATTERNS_PER_PASS)] or [[]]
+        return reduce(DataFrame.unionByName, [_match_as_expressions(scope, page, dialect) for page in pages])
     literal = is_literal_column(F.col("pattern"), dialect)
     found = [_match_as_join(scope, patterns.filter(literal))]
     rest, last = patterns.filter(~literal), None
@@ -126,9 +129,5 @@ def grep_requests(
     requests, top = with_limits(requests, limit)
     patterns = cut(requests.select("pattern").distinct(), "patterns")
     found = match_patterns(search_scope(files, include, exclude), patterns, dialect)
-    best = ranked(found, ["pattern"], ["file_path", "line_start"], top)
-    return (
-        requests.join(best, "pattern")
-        .filter(within_limit())
-        .select("request_id", *MATCH, F.lit("grep").alias("source"))
-    )
+    best = ranked(found.withColumnRenamed("line_no", "line_start"), ["pattern"], ["file_path", "line_start"], top)
+    return _shown(requests.join(best, "pattern").filter(within_limit()), "request_id")

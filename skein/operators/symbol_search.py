@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.answers import ranked, with_limits, within_limit
-from skein.operators.grep import all_grams, grep_requests
+from skein.operators.grep import grams, grep_requests
 from skein.schemas import SEARCH_HITS, conform
 from skein.session import cut, fits_broadcast, semi_join_by_size
 
@@ -74,7 +74,8 @@ def _substring(symbols: DataFrame, requests: DataFrame, top: int | None, wildcar
     patterns = wanted.select("asked", "gram", "wild").distinct()
     if fits_broadcast(patterns):
         patterns = F.broadcast(patterns)
-    names = symbols.select("name").distinct().withColumn("gram", F.explode(all_grams(F.lower("name"), lengths)))
+    expanded = F.flatten(F.array(*[grams(F.lower("name"), n) if n else F.array(F.lit("")) for n in lengths]))
+    names = symbols.select("name").distinct().withColumn("gram", F.explode(expanded))
     fits = F.when(F.col("wild"), _like(F.lower("name"), F.lower("asked"))).otherwise(
         F.contains(F.lower("name"), F.lower("asked"))
     )
