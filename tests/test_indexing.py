@@ -1,0 +1,288 @@
+"""Extraction goldens, index runs and updates on a small source tree."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from skein.operators.extract import extract, raw_edges_of, rejects_of, symbols_of
+from skein.operators.maintain import cascade_edges, name_conflicts
+from skein.operators.plugins import WEB, Plugin
+from skein.plans.indexing import TABLES, empty_index, index_corpus, load_index, update_index, update_summary
+from skein.schemas import FILES, SYMBOLS
+from skein.sources.files import drop_excluded, from_table, prune_walk, restrict_to, scan_tree, with_hash, with_text
+from skein.sources.tables import current_version, publish, read_table
+from skein.streaming.feed import apply_to_index, run_feed
+
+MODELS = '''import os
+from .base import Base as B, helper
+
+class User(B, metaclass=Meta):
+    """A user.
+
+    More.
+    """
+    @decor("x")
+    def save(self, n=default()):
+        def inner():
+            return os.path.join("a")
+        self.repo.put(n)
+        make()().run()
+
+def save():
+    return User()
+
+save()
+'''
+
+MAIN = '''import src.app.models
+from src.app.models import User
+from . import nothing
+
+def run():
+    src.app.models.save()
+'''
+
+TREE = {
+    "src/app/models.py": MODELS.encode(),
+    "src/main.py": MAIN.encode(),
+    "src/empty.py": b"",
+    "src/broken.py": b"def :",
+    "src/nul.py": b"x = 1\0",
+    "src/bom.py": b"\xef\xbb\xbfx = 1\n",
+    "src/twice.py": b"def f():\n    return 1\n\ndef f():\n    return 2\n",
+    "src/bad_utf8.py": b'x = "\xff"\n',
+    "src/builder.py": b"def b():\n    pass\n",
+    "src/app/views.py": b"class Page:\n    def get(self):\n        pass\n\nasync def home():\n    pass\n",
+    "src/note.md": b"# note\n",
+    "src/deep.py": b"x = " + b"(" * 3000 + b")" * 3000,
+}
+
+
+def scan(spark, tree):
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in tree.items()], "file_path string, content binary")
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def extracted(spark):
+    return extract(with_text(scan(spark, TREE))).cache()
+
+
+def test_symbols_of_the_golden_file(extracted):
+    got = symbols_of(extracted).filter("file_path = 'src/app/models.py'").orderBy("ordinal").collect()
+    m = "src.app.models"
+    assert [(r.ordinal, r.name, r.qualified_name, r.kind, r.line_start, r.line_end, r.summary, r.extra) for r in got] == [
+        (0, "os", f"{m}.__import__.1.0.os.os", "import", 1, 1, "", {"module": "os"}),
+        (1, "B", f"{m}.__import__.2.0.base.B", "import", 2, 2, "", {"module": "base", "original_name": "Base"}),
+        (2, "helper", f"{m}.__import__.2.0.base.helper", "import", 2, 2, "", {"module": "base", "original_name": "helper"}),
+        (3, "User", f"{m}.User", "class", 4, 14, "A user.", {}),
+        (4, "save", f"{m}.User.save", "method", 10, 14, "", {}),
+        (5, "inner", f"{m}.User.save.inner", "method", 11, 12, "", {}),
+        (6, "save", f"{m}.save", "function", 16, 17, "", {}),
+        (7, "models.py", m, "file", 1, 19, "", {}),
+    ]
+    assert {r.raw_signature for r in got} == {""}
+
+
+def test_raw_edges_of_the_golden_file(extracted):
+    m = "src.app.models"
+    got = {tuple(r)[1:] for r in raw_edges_of(extracted).filter("file_path = 'src/app/models.py'").collect()}
+    assert got == {
+        (m, "os", "imports"),
+        (m, "base.Base", "imports"),
+        (m, "base.helper", "imports"),
+        (f"{m}.User", "B", "inherits"),
+        (f"{m}.User.save", "default", "calls"),
+        (f"{m}.User.save", "decor", "calls"),
+        (f"{m}.User.save", "self.repo.put", "calls"),
+        (f"{m}.User.save", "make", "calls"),
+        (f"{m}.User.save.inner", "os.path.join", "calls"),
+        (f"{m}.save", "User", "calls"),
+    }
+
+
+def test_files_that_do_not_parse_and_odd_ones(extracted):
+    assert {r.file_path for r in rejects_of(extracted).collect()} >= {"src/broken.py", "src/nul.py", "src/bom.py"}
+    symbols = symbols_of(extracted)
+    assert rows(symbols.filter("file_path = 'src/empty.py'"), "name", "kind", "line_start", "line_end") == [("empty.py", "file", 1, 0)]
+    assert symbols.filter("file_path = 'src/broken.py'").count() == 0
+    assert rows(symbols.filter("file_path = 'src/bad_utf8.py'"), "kind") == [("file",)]
+    assert extracted.filter("file_path = 'src/note.md'").count() == 0
+
+
+def test_index_run(spark):
+    index = index_corpus(scan(spark, TREE), plugins=[WEB])
+    assert rows(index.edges, "from_qualified", "to_qualified", "relation") == [
+        ("src.main", "src.app.models", "imports"),
+        ("src.main", "src.app.models.User", "imports"),
+        ("src.main.run", "src.app.models.save", "calls"),
+    ]
+    counts = {r.file_path: r.symbol_count for r in index.files.collect()}
+    assert "src/builder.py" not in counts and "src/note.md" not in counts
+    assert counts["src/broken.py"] == 0 and counts["src/twice.py"] == 2 and counts["src/app/models.py"] == 8
+    assert rows(index.symbols.filter("name = 'f'"), "line_start") == [(1,)]
+    kinds = rows(index.symbols.filter("file_path = 'src/app/views.py'"), "name", "kind")
+    assert kinds == [("Page", "view"), ("get", "method"), ("home", "view"), ("views.py", "file")]
+    assert index.symbols.filter("kind = 'model'").count() == 1
+    assert index.symbols.columns == SYMBOLS.names and index.files.columns == FILES.names
+
+
+def test_plugin_adds_edges_after_its_retag(spark):
+    def link(symbols):
+        return symbols.filter("kind = 'view'").select(
+            "file_path", F.col("qualified_name").alias("from_qualified"), F.lit("src.app.models.User").alias("to_qualified"), F.lit("references").alias("relation")
+        )
+
+    index = index_corpus(scan(spark, TREE), plugins=[WEB, Plugin("link", extra_edges=link)])
+    assert index.edges.filter("relation = 'references'").count() == 2
+
+
+def test_conflict_across_files(spark):
+    tree = {"a.py": b"class b:\n    pass\n", "a/b.py": b"x = 1\n"}
+    with pytest.raises(ValueError, match="a.b"):
+        index_corpus(scan(spark, tree))
+    first = index_corpus(scan(spark, tree), on_conflict="first")
+    assert rows(first.symbols, "qualified_name", "file_path") == [("a", "a.py"), ("a.b", "a.py")]
+    assert rows(name_conflicts(first.symbols), "qualified_name") == []
+
+
+VERSION_1 = {
+    "p/base.py": b"def helper():\n    return 1\n",
+    "p/one.py": b"import p.base\nimport p.two\n\ndef go():\n    return p.base.helper()\n",
+    "p/two.py": b"import p.base\n",
+    "p/old.py": b"import p.base\n",
+}
+VERSION_2 = {
+    "p/base.py": b"# changed\ndef helper():\n    return 1\n",
+    "p/one.py": VERSION_1["p/one.py"],
+    "p/two.py": b"import p.one\n\ndef two():\n    return p.one.go()\n",
+    "p/new.py": b"import p.two\n",
+}
+
+
+def published(spark, path, resolve):
+    root = str(path / "index")
+    index_corpus(scan(spark, VERSION_1), resolve=resolve).publish(root)
+    return load_index(spark, root), root
+
+
+def content(index, name):
+    df = getattr(index, name).drop("last_indexed")
+    return sorted(map(repr, df.collect()))
+
+
+def test_update_equals_rebuild(spark, tmp_path):
+    before, root = published(spark, tmp_path, "complete")
+    deleted = spark.createDataFrame([("p/old.py",)], "file_path string")
+    after = update_index(before, scan(spark, VERSION_2), deleted=deleted)
+    rebuilt = index_corpus(scan(spark, VERSION_2))
+    for name in TABLES:
+        assert content(after, name) == content(rebuilt, name), name
+    assert rows(update_summary(before, scan(spark, VERSION_2)), "scanned", "indexed") == [(4, 3)]
+    assert after.publish(root) == 2
+    again = update_index(load_index(spark, root), scan(spark, VERSION_2))
+    for name in TABLES:
+        assert content(again, name) == content(rebuilt, name), name
+
+
+def test_update_keeps_a_file_that_is_gone(spark, tmp_path):
+    before, _ = published(spark, tmp_path, "complete")
+    after = update_index(before, scan(spark, VERSION_2))
+    assert after.files.filter("file_path = 'p/old.py'").count() == 1
+    assert ("p.old", "p.base", "imports") in rows(after.edges, *after.edges.columns)
+
+
+def test_as_indexed_order_and_cascade(spark, tmp_path):
+    before, _ = published(spark, tmp_path, "as_indexed")
+    # p/one.py comes before p/two.py and cannot see it yet
+    assert rows(before.edges, "from_qualified", "to_qualified") == [
+        ("p.old", "p.base"),
+        ("p.one", "p.base"),
+        ("p.one.go", "p.base.helper"),
+        ("p.two", "p.base"),
+    ]
+    complete = index_corpus(scan(spark, VERSION_1))
+    assert set(map(tuple, complete.edges.collect())) > set(map(tuple, before.edges.collect()))
+    after = update_index(before, scan(spark, VERSION_2), resolve="as_indexed")
+    # edges of the unchanged files into the changed base are lost, those of changed files come back
+    assert rows(after.edges, "from_qualified", "to_qualified") == [("p.two", "p.one"), ("p.two.two", "p.one.go")]
+
+
+def test_cascade_removes_both_ends(spark):
+    edges = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("c", "d", "r")], "from_qualified string, to_qualified string, relation string")
+    gone = spark.createDataFrame([("b",)], "qualified_name string")
+    assert rows(cascade_edges(edges, gone), "from_qualified", "to_qualified") == [("c", "d")]
+
+
+def test_publish_is_all_or_nothing(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    assert current_version(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, root, "files")
+    good = spark.range(3)
+    assert publish(root, {"files": good}) == 1
+    with pytest.raises(Exception):
+        publish(root, {"files": spark.range(5), "symbols": good.select(F.raise_error(F.lit("stop")).alias("name"), F.lit("q").alias("qualified_name"))})
+    assert current_version(spark, root) == 1 and read_table(spark, root, "files").count() == 3
+    assert publish(root, {"files": spark.range(7)}) == 2  # the half-written version is overwritten
+    assert read_table(spark, root, "files").count() == 7
+
+
+def test_tree_scan(spark, tmp_path):
+    root = tmp_path / "src"
+    for path, body in TREE.items():
+        file = tmp_path / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(body)
+    found = {r.file_path: bytes(r.content) for r in scan_tree(spark, str(root)).collect()}
+    assert found == TREE
+    assert scan_tree(spark, str(root), prefix="", glob="*.md").select("file_path").collect()[0][0] == "note.md"
+    from_files = index_corpus(scan_tree(spark, str(root)))
+    from_rows = index_corpus(scan(spark, TREE))
+    for name in TABLES:
+        assert content(from_files, name) == content(from_rows, name)
+
+
+def test_scan_filters(spark):
+    paths = ["src/a.py", "src/.hid/a.py", "src/dist/a.py", "src/distant/a.py", "src/x/builder.py", ".github/a.py", "src/.a.py"]
+    df = spark.createDataFrame([(p, "x") for p in paths], "file_path string, text string")
+    assert rows(prune_walk(df, ["dist"]), "file_path") == sorted(
+        [("src/a.py",), ("src/distant/a.py",), ("src/x/builder.py",), (".github/a.py",), ("src/.a.py",)], key=repr
+    )
+    assert rows(drop_excluded(df), "file_path") == sorted([("src/a.py",), ("src/.hid/a.py",), ("src/.a.py",)], key=repr)
+    assert drop_excluded(df, [""]).count() == 0
+    listing = spark.createDataFrame([("src/a.py",), ("src/lost.py",)], "file_path string")
+    assert rows(restrict_to(df, listing), "file_path") == [("src/a.py",)]
+    assert with_hash(from_table(df, "file_path", "text")).select("content_hash").distinct().count() == 1
+
+
+def test_feed_keeps_an_index(spark, tmp_path):
+    feed, root = str(tmp_path / "feed"), str(tmp_path / "index")
+    schema = "file_path string, content binary, seq long"
+
+    def append(tree, seq):
+        rows_ = [(p, bytearray(c), seq) for p, c in tree.items()]
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(feed)
+
+    def run():
+        changes = spark.readStream.schema(schema).parquet(feed)
+        run_feed(changes, apply_to_index(root, ["seq"]), str(tmp_path / "progress"))
+
+    append(VERSION_1, 1)
+    run()
+    append(VERSION_2, 2)
+    run()
+    got, want = load_index(spark, root), update_index(index_corpus_published(spark, tmp_path), scan(spark, VERSION_2))
+    for name in TABLES:
+        assert content(got, name) == content(want, name), name
+    version = current_version(spark, root)
+    apply_to_index(root, ["seq"])(spark.createDataFrame([("p/x.py", bytearray(b"x"), 9)], schema), 0)  # a replayed batch
+    assert current_version(spark, root) == version
+
+
+def index_corpus_published(spark, tmp_path):
+    root = str(tmp_path / "direct")
+    update_index(empty_index(spark), scan(spark, VERSION_1)).publish(root)
+    return load_index(spark, root)
