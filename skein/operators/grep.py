@@ -12,13 +12,12 @@ from skein.functions.answers import ranked, with_limits, within_limit
 from skein.functions.paths import base_name_matches, directory_matches
 from skein.functions.patterns import is_literal_column, matches, may_match_file
 from skein.functions.text import strip
-from skein.session import cut, fits_broadcast
+from skein.session import cut, fits_broadcast, semi_join_by_size
 from skein.sources.lines import numbered_lines, searchable
 
-# Patterns tested as expressions in one pass over the lines, and the number of them up to which
-# such passes cost less than expanding every line into substrings.
-PATTERNS_PER_PASS = 64
-PATTERNS_AS_EXPRESSIONS = 1024
+# Patterns tested as expressions in one pass over the lines. More literals than that are matched by
+# a join, also in one pass; more regexes take one pass per page.
+PATTERNS_PER_PASS = 256
 
 
 def search_scope(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -68,8 +67,11 @@ def _match_as_expressions(scope: DataFrame, patterns: Sequence[str], dialect: st
     coarse = [may_match_file(text, p, dialect) for p in patterns]
     if patterns and all(c is not None for c in coarse):
         scope = scope.filter(reduce(Column.__or__, coarse))
-    hit = F.array_compact(F.array(*[F.when(matches(text, p, dialect), F.lit(p)) for p in patterns]).cast("array<string>"))
-    return numbered_lines(scope).withColumn("pattern", F.explode(hit))
+    if not patterns:
+        return numbered_lines(scope.filter(F.lit(False))).withColumn("pattern", F.lit(""))
+    # a plain array is exploded inside generated code and tests every pattern once
+    tests = F.array(*[F.when(matches(text, p, dialect), F.lit(p)) for p in patterns])
+    return numbered_lines(scope).withColumn("pattern", F.explode(tests)).filter(F.isnotnull("pattern"))
 
 
 def grams(text: Column, length: Column | int) -> Column:
@@ -94,14 +96,13 @@ def _match_as_join(scope: DataFrame, literals: DataFrame) -> DataFrame:
 def match_patterns(scope: DataFrame, patterns: DataFrame, dialect: str) -> DataFrame:
     """All matches of a table of distinct ``pattern`` values: ``pattern, file_path, line_no, text``.
 
-    Up to ``PATTERNS_AS_EXPRESSIONS`` patterns are tested as expressions, a page of them per pass. Beyond
-    that, literals are equi-joined and only real regexes are paged.
+    Up to ``PATTERNS_PER_PASS`` patterns are tested as expressions of one pass. Beyond that, literals are
+    equi-joined and only real regexes are paged.
     """
     patterns = patterns.filter(F.isnotnull("pattern"))
-    few = sorted(row[0] for row in patterns.limit(PATTERNS_AS_EXPRESSIONS + 1).collect())
-    if len(few) <= PATTERNS_AS_EXPRESSIONS:
-        pages = [few[at : at + PATTERNS_PER_PASS] for at in range(0, len(few), PATTERNS_PER_PASS)] or [[]]
-        return reduce(DataFrame.unionByName, [_match_as_expressions(scope, page, dialect) for page in pages])
+    few = sorted(row[0] for row in patterns.limit(PATTERNS_PER_PASS + 1).collect())
+    if len(few) <= PATTERNS_PER_PASS:
+        return _match_as_expressions(scope, few, dialect)
     literal = is_literal_column(F.col("pattern"), dialect)
     found = [_match_as_join(scope, patterns.filter(literal))]
     rest, last = patterns.filter(~literal), None
@@ -125,9 +126,19 @@ def grep_requests(
     """``grep`` for a table of ``request_id, pattern[, lim]``; the limit holds per request.
 
     Equal patterns are searched once. Answers ``request_id`` and the columns of ``grep``.
+
+    Under a limit the places of the matches are ranked without their text, because a frequent pattern
+    may match most lines of the corpus; a second scan fetches the text of the places that are left.
     """
     requests, top = with_limits(requests, limit)
     patterns = cut(requests.select("pattern").distinct(), "patterns")
-    found = match_patterns(search_scope(files, include, exclude), patterns, dialect)
-    best = ranked(found.withColumnRenamed("line_no", "line_start"), ["pattern"], ["file_path", "line_start"], top)
+    scope = search_scope(files, include, exclude)
+    found = match_patterns(scope, patterns, dialect).withColumnRenamed("line_no", "line_start")
+    if top is None:
+        return _shown(requests.join(found, "pattern"), "request_id")
+    places = found.select("pattern", "file_path", "line_start")
+    places = cut(ranked(places, ["pattern"], ["file_path", "line_start"], top), "grep-places")
+    hit_files = semi_join_by_size(scope, places.select("file_path").distinct(), ["file_path"])
+    texts = numbered_lines(hit_files).withColumnRenamed("line_no", "line_start")
+    best = places.join(texts, ["file_path", "line_start"])
     return _shown(requests.join(best, "pattern").filter(within_limit()), "request_id")

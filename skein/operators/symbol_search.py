@@ -19,7 +19,7 @@ SHOWN = ["qualified_name", "kind", "file_path", "line_start", "summary"]
 def _normal(requests: DataFrame, limit: int | None) -> tuple[DataFrame, int | None]:
     requests, top = with_limits(requests, limit)
     kind = F.nullif(F.col("kind"), F.lit("")) if "kind" in requests.columns else F.lit(None).cast("string")
-    return requests.select("request_id", "name", kind.alias("req_kind"), "lim"), top
+    return cut(requests.select("request_id", "name", kind.alias("req_kind"), "lim"), "search-requests"), top
 
 
 def _best_per_name(symbols: DataFrame, names: DataFrame, top: int | None) -> DataFrame:
@@ -118,7 +118,6 @@ def search_symbol(
     (graph) or path and line (text) before the limit cuts.
     """
     requests, top = _normal(requests, limit)
-    requests = cut(requests, "search-requests")
     exact = cut(_exact(symbols, requests, top), "exact-hits")
     open_requests = cut(requests.join(exact, "request_id", "left_anti"), "open-requests")
     substring = _substring(symbols, open_requests, top, wildcards)

@@ -19,7 +19,7 @@ def graph_usages(symbols: DataFrame, edges: DataFrame, requests: DataFrame, limi
     cut down inside every map task.
     """
     requests, top = with_limits(requests, limit)
-    wanted = requests.select(F.col("qualified_name").alias("to_qualified")).distinct()
+    wanted = cut(requests.select(F.col("qualified_name").alias("to_qualified")).distinct(), "usage-targets")
     into = semi_join_by_size(edges, wanted, ["to_qualified"])
     best = ranked(into, ["to_qualified"], ["from_qualified", "relation"], top)
     asked = requests.select("request_id", F.col("qualified_name").alias("to_qualified"), "lim")

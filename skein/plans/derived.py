@@ -132,12 +132,10 @@ def code_corpus(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame
     segment BUILDING, adds a comment to ``shop/base.py`` and adds ``shop/extra.py``.
     """
     region, nation = load(spark, sf_dir, "region"), load(spark, sf_dir, "nation")
-    customer = load(spark, sf_dir, "customer").join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
-    )
+    customer = load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     moved = F.lit(False)
     if version == 2:
-        customer = customer.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        customer = customer.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         moved = F.col("r_name") == "AFRICA"
         customer = customer.filter(~(moved & (F.col("c_mktsegment") == "BUILDING")))
 

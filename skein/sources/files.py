@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.paths import contains_any, segments
+from skein.functions.paths import base_name, base_name_matches, contains_any, segments
 from skein.functions.text import decode_utf8
+from skein.session import cut
 
 # The default exclude list.
 DEFAULT_EXCLUDE = [
@@ -24,22 +29,106 @@ DEFAULT_EXCLUDE = [
 ]
 
 
-def scan_tree(spark: SparkSession, root: str, prefix: str | None = None, glob: str | None = None) -> DataFrame:
+LISTED = "path string, is_dir boolean"
+READ = "path string, content binary"
+BATCH_BYTES = 16 * 1024 * 1024
+
+
+def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            system, inner = fs.FileSystem.from_uri(folder)
+            scheme = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+            local = isinstance(system, fs.LocalFileSystem)
+            entries = [e for e in system.get_file_info(fs.FileSelector(inner)) if e.type != fs.FileType.NotFound]
+            is_dir = [e.type == fs.FileType.Directory for e in entries]
+            # like a plain walk, do not enter linked directories: they may lead back up
+            kept = [i for i, e in enumerate(entries) if not (local and is_dir[i] and os.path.islink(e.path))]
+            paths = pa.array([scheme + entries[i].path for i in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([paths, pa.array([is_dir[i] for i in kept], pa.bool_())], ["path", "is_dir"])
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        paths, contents = zip(*rows) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    for batch in batches:
+        rows, size = [], 0
+        for path in batch.column("path").to_pylist():
+            system, inner = fs.FileSystem.from_uri(path)
+            try:
+                with system.open_input_stream(inner) as stream:
+                    rows.append((path, stream.read()))
+            except OSError:
+                continue  # listed, but not there or not readable: skipped
+            size += len(rows[-1][1])
+            if size >= BATCH_BYTES:
+                yield flush(rows)
+                rows, size = [], 0
+        yield flush(rows)
+
+
+def _spread(paths: DataFrame) -> DataFrame:
+    return paths.repartition("path")
+
+
+def walk_tree(spark: SparkSession, root: str, prune: Sequence[str] | None = None) -> DataFrame:
+    """``path`` of every file below ``root`` (a local path or a URI), one job per directory level.
+
+    Directories are listed by the tasks. With ``prune``, hidden directories and those with one of these
+    exact names are not entered. Spark's own file sources are no help here: they leave out empty
+    files and names that start with ``_`` or ``.``, such as ``__init__.py``.
+    """
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    found = []
+    while True:
+        listed = cut(level.mapInArrow(_list_directories, LISTED), "walk")
+        found.append(listed.filter(~F.col("is_dir")).select("path"))
+        level = listed.filter("is_dir").select("path")
+        if prune is not None:
+            name = base_name(F.col("path"))
+            level = level.filter(~(name.isin(*prune) | F.startswith(name, F.lit("."))))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = _spread(level)
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """``path, content`` of the files in ``paths``; a path that cannot be read is skipped."""
+    return _spread(paths.select("path")).mapInArrow(_read_files, READ)
+
+
+def _relative(path: Column, root: str, prefix: str | None) -> Column:
+    base = root.rstrip("/")
+    prefix = base.rsplit("/", 1)[-1] if prefix is None else prefix.rstrip("/")
+    inside = F.substr(path, F.lit(len(base) + 2))
+    return F.concat(F.lit(prefix + "/"), inside) if prefix else inside
+
+
+def scan_tree(
+    spark: SparkSession,
+    root: str,
+    prefix: str | None = None,
+    globs: Sequence[str] = (),
+    prune: Sequence[str] | None = None,
+) -> DataFrame:
     """Every file below ``root`` as ``file_path, content``.
 
     Paths are relative to ``root`` and start with ``prefix`` (the base name of ``root`` when not given,
     nothing when empty), so that ``scan_tree(spark, "/data/src")`` yields ``src/app/models.py``.
-    ``glob`` narrows the listing itself to one base-name pattern.
+    Only files whose base name matches one of ``globs`` are read; ``prune`` is that of ``walk_tree``.
     """
-    base = root.rstrip("/")
-    prefix = base.rsplit("/", 1)[-1] if prefix is None else prefix
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    # the reader reports URIs (file:/..., hdfs://...): cut at the first occurrence of the root
-    after_root = F.substring_index(F.col("path"), base + "/", -1) if base else F.col("path")
-    path = F.concat(F.lit(prefix.rstrip("/") + "/"), after_root) if prefix else after_root
-    return reader.load(root).select(path.alias("file_path"), "content")
+    paths = walk_tree(spark, root, prune)
+    if globs:
+        paths = paths.filter(base_name_matches(F.col("path"), globs))
+    return read_files(paths).select(_relative(F.col("path"), root, prefix).alias("file_path"), "content")
+
+
+def scan_listed(listing: DataFrame, root: str, prefix: str | None = None) -> DataFrame:
+    """The files of a listing (``file_path`` relative to ``root``) without a walk: tracked or changed files."""
+    paths = listing.select(F.concat(F.lit(root.rstrip("/") + "/"), F.col("file_path")).alias("path")).distinct()
+    return read_files(paths).select(_relative(F.col("path"), root, prefix).alias("file_path"), "content")
 
 
 def from_table(df: DataFrame, path: str, content: str) -> DataFrame:

@@ -8,7 +8,7 @@ from skein.operators.maintain import cascade_edges, name_conflicts
 from skein.operators.plugins import WEB, Plugin
 from skein.plans.indexing import TABLES, empty_index, index_corpus, load_index, update_index, update_summary
 from skein.schemas import FILES, SYMBOLS
-from skein.sources.files import drop_excluded, from_table, prune_walk, restrict_to, scan_tree, with_hash, with_text
+from skein.sources.files import drop_excluded, from_table, prune_walk, restrict_to, scan_listed, scan_tree, with_hash, with_text
 from skein.sources.tables import current_version, publish, read_table
 from skein.streaming.feed import apply_to_index, run_feed
 
@@ -238,9 +238,18 @@ def test_tree_scan(spark, tmp_path):
         file.write_bytes(body)
     found = {r.file_path: bytes(r.content) for r in scan_tree(spark, str(root)).collect()}
     assert found == TREE
-    assert scan_tree(spark, str(root), prefix="", glob="*.md").select("file_path").collect()[0][0] == "note.md"
-    from_files = index_corpus(scan_tree(spark, str(root)))
-    from_rows = index_corpus(scan(spark, TREE))
+    assert rows(scan_tree(spark, f"file://{root}", prefix="", globs=["*.md"]), "file_path") == [("note.md",)]
+    for path in ["src/__init__.py", "src/.hidden/a.py", "src/dist/b.py", "src/distant/c.py"]:
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_bytes(b"x = 1\n")
+    (root / "loop").symlink_to(root)
+    walked = {p for (p,) in rows(scan_tree(spark, str(root), prune=["dist"]), "file_path")}
+    assert walked == set(TREE) | {"src/__init__.py", "src/distant/c.py"}
+    assert scan_tree(spark, str(root)).count() == len(TREE) + 4
+    listing = spark.createDataFrame([("main.py",), ("lost.py",), ("app/views.py",)], "file_path string")
+    assert rows(scan_listed(listing, str(root)), "file_path") == [("src/app/views.py",), ("src/main.py",)]
+    from_files = index_corpus(scan_tree(spark, str(root), globs=["*.py"]), exclude=["__init__", ".hid", "dist"])
+    from_rows = index_corpus(scan(spark, TREE), exclude=["nothing"])
     for name in TABLES:
         assert content(from_files, name) == content(from_rows, name)
 

@@ -69,10 +69,9 @@ def test_grep_literal_limit_and_scope(files):
         grep(files, "get", limit=-1)
 
 
-@pytest.mark.parametrize("as_expressions", [1024, 2])
-def test_many_patterns(spark, files, monkeypatch, as_expressions):
-    monkeypatch.setattr(grep_module, "PATTERNS_AS_EXPRESSIONS", as_expressions)
-    monkeypatch.setattr(grep_module, "PATTERNS_PER_PASS", 2)
+@pytest.mark.parametrize("per_pass", [256, 2])
+def test_many_patterns(spark, files, monkeypatch, per_pass):
+    monkeypatch.setattr(grep_module, "PATTERNS_PER_PASS", per_pass)
     patterns = ["get", "user", "e", "\U0001f600", "µ\U0001f600s", "nothing", "", "return get"]
     asked = spark.createDataFrame([(f"{i}", p) for i, p in enumerate(patterns)] + [("again", "get")], "request_id string, pattern string")
     got = grep_requests(files, asked, limit=None, dialect="literal").collect()
