@@ -31,8 +31,8 @@ def line_context(files: DataFrame, requests: DataFrame, radius: int = 30) -> Dat
     requests = requests.select(
         "request_id",
         "file_path",
-        F.greatest(F.lit(1), F.col("line") - reach).cast("int").alias("first"),
-        (F.col("line") + reach).cast("int").alias("last"),
+        F.greatest(F.lit(1).cast("long"), F.col("line").cast("long") - reach).alias("first"),
+        (F.col("line").cast("long") + reach).alias("last"),
     )
     requests = cut(requests, "context-requests")
     asked = semi_join_by_size(files.select("file_path", "text"), requests.select("file_path").distinct(), ["file_path"])

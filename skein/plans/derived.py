@@ -44,7 +44,7 @@ def entity_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
             path.alias("file_path"),
             (F.col(key) % 1000).cast("int").alias("line_start"),
             F.concat(F.lit(f"{table} "), F.col(name)).alias("summary"),
-            F.col(key).cast("int").alias("ordinal"),
+            F.col(key).cast("long").alias("ordinal"),
         )
 
     customer_kind = F.when(F.col("c_custkey") % 10 == 0, "view").otherwise("function")
@@ -70,18 +70,18 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = load(spark, sf_dir, "lineitem")
     bought = lineitem.select("l_orderkey", "l_partkey").distinct()
     supplied = lineitem.select("l_suppkey", "l_partkey").distinct()
+    both_ways = F.array(F.struct(_key("supplier.", "l_suppkey"), _key("part.", "l_partkey")), F.struct(_key("part.", "l_partkey"), _key("supplier.", "l_suppkey")))
+    supplies = supplied.select(F.inline(both_ways).alias("a", "b"))
     by_segment = (
         F.when(F.col("c_mktsegment") == "BUILDING", "registers")
         .when(F.col("c_mktsegment") == "MACHINERY", "handles_signal")
         .otherwise("references")
     )
     part, order = _key("part.", "l_partkey"), _key("order.", "l_orderkey")
-    sup = _key("supplier.", "l_suppkey")
     edges = [
         edge(orders, _key("order.", "o_orderkey"), _key("customer.", "o_custkey"), F.lit("calls")),
         edge(bought, order, part, F.lit("references")),
-        edge(supplied, sup, part, F.lit("calls")),
-        edge(supplied, part, sup, F.lit("calls")),
+        edge(supplies, F.col("a"), F.col("b"), F.lit("calls")),
         edge(customer, _key("customer.", "c_custkey"), _key("nation.", "c_nationkey"), by_segment),
         edge(supplier, _key("supplier.", "s_suppkey"), _key("nation.", "s_nationkey"), F.lit("inherits")),
         edge(nation, _key("nation.", "n_nationkey"), _key("region.", "n_regionkey"), F.lit("imports")),
@@ -92,7 +92,7 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One files row per path of the entity graph, the orders file included."""
     symbols = entity_symbols(spark, sf_dir)
-    counts = symbols.groupBy("file_path").agg(F.count(F.lit(1)).cast("int").alias("symbol_count"))
+    counts = symbols.groupBy("file_path").agg(F.count(F.lit(1)).alias("symbol_count"))
     return counts.select(
         "file_path", module_path(F.col("file_path")).alias("module_path"), F.lit(None).cast("string").alias("summary"), "symbol_count"
     )

@@ -10,7 +10,7 @@ BASIC_SPECIAL = "."
 ENTITY_SYMBOLS = """
 symbols AS (
   SELECT name, qualified_name, kind, file_path, CAST(k % 1000 AS INTEGER) AS line_start, tab || ' ' || name AS summary,
-         CAST(k AS INTEGER) AS ordinal
+         CAST(k AS BIGINT) AS ordinal
   FROM (
     SELECT r_name AS name, 'region.' || r_regionkey AS qualified_name, 'file' AS kind, 'region' AS file_path, r_regionkey AS k, 'region' AS tab FROM region
     UNION ALL SELECT n_name, 'nation.' || n_nationkey, 'model', 'nation_' || n_nationkey, n_nationkey, 'nation' FROM nation

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from skein import cut, fits_broadcast, shared_folder
 from skein.functions import paths, text
 from skein.functions.answers import ranked, with_limits
 from skein.functions.patterns import basic_to_java, matches
@@ -116,3 +117,17 @@ def test_limits_of_requests(spark):
 
 def test_glob_regex_is_anchored():
     assert re.search(paths.glob_regex("*.py").replace(r"\z", r"\Z"), "x.pyc") is None
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = shared_folder(spark)
+    assert folder == configured.rstrip("/") if configured else folder == spark.sparkContext.getCheckpointDir()
+    table = cut(spark.range(5).withColumn("t", F.lit("x")), "check")
+    assert table.count() == 5 and folder in table.inputFiles()[0]
+
+
+def test_broadcast_check_counts_rows_and_bytes(spark):
+    df = spark.range(100).withColumn("t", F.lit("x" * 50))
+    assert fits_broadcast(df) and not fits_broadcast(df, rows=99) and not fits_broadcast(df, size=1000)
+    assert fits_broadcast(df.filter("id < 0"))

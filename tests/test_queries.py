@@ -144,7 +144,7 @@ def brute_context(text, line, radius):
 def test_line_context(spark):
     text = "".join(f"line {i} \r\n" if i % 3 else f"line {i}\r" for i in range(1, 301)) + "last"
     files = spark.createDataFrame([("f", text), ("empty", "")], "file_path string, text string")
-    asked = [("f", 1, 0), ("f", 64, 2), ("f", 301, 1), ("f", 302, 1), ("f", 500, 3), ("f", 5, 10**9), ("f", -3, 5), ("f", -30, 5), ("f", 150, 100), ("empty", 1, 2)]
+    asked = [("f", 1, 0), ("f", 64, 2), ("f", 301, 1), ("f", 302, 1), ("f", 500, 3), ("f", 5, 2**31 - 1), ("f", -3, 5), ("f", -30, 5), ("f", 150, 100), ("empty", 1, 2)]
     requests = spark.createDataFrame([(str(i), *a) for i, a in enumerate(asked)] + [("lost", "g", 1, 1)], "request_id string, file_path string, line int, radius int")
     got = {r.request_id: r.context for r in line_context(files, requests).collect()}
     for i, (path, line, radius) in enumerate(asked):
