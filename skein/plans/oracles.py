@@ -5,7 +5,6 @@ from __future__ import annotations
 from skein.plans.derived import CUSTOMERS_PER_BLOCK
 
 BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-BASIC_SPECIAL = "."
 
 ENTITY_SYMBOLS = """
 symbols AS (

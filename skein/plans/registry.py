@@ -241,7 +241,7 @@ def url_scan(spark: SparkSession, sf: str) -> DataFrame:
 def listing_scan(spark: SparkSession, sf: str) -> DataFrame:
     listing = load(spark, sf, "labels").select(
         F.explode(
-            F.array(*[F.concat(F.lit(f"doc_"), F.col("doc_id").cast("string"), F.lit(f".{e}")) for e in ("py", "js", "md", "html")])
+            F.array(*[F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(f".{e}")) for e in ("py", "js", "md", "html")])
         ).alias("file_path")
     )
     files = text_files(spark, sf).withColumn("file_path", F.element_at(F.split("file_path", "/"), -1))

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from skein.operators import grep as grep_module
 from skein.operators.context import file_head, line_context
