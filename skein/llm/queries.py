@@ -12,6 +12,7 @@ from skein.llm.exact_dedup import exact_duplicates
 from skein.llm.packing import best_fit, cut_lengths
 from skein.llm.piece_codec import encode_pieces
 from skein.llm.quality_rules import quality_rules
+from skein.llm.simhash import near_duplicates
 from skein.llm.token_counts import token_counts
 from skein.llm.token_files import read_tokens, write_tokens
 from skein.session import cut, scratch_path
@@ -50,6 +51,10 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def packed_documents(docs: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
     """Pieces of the encoded ``docs`` in their sequences, with the checksum of each piece's ids."""
     tokens = encode_tokens(docs, tokenizer_file(BYTE_BPE))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_piece_codec": op5_piece_codec,
+    "op6_simhash": op6_simhash,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op10_quality_rules": op10_quality_rules,
