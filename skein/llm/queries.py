@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.encoding import encode_tokens
 from skein.llm.exact_dedup import exact_duplicates
+from skein.llm.line_dedup import without_repeated_chunks
 from skein.llm.packing import best_fit, cut_lengths
 from skein.llm.piece_codec import encode_pieces
 from skein.llm.quality_rules import quality_rules
 from skein.llm.simhash import near_duplicates
+from skein.llm.substring_dedup import substring_duplicates
 from skein.llm.token_counts import token_counts
 from skein.llm.token_files import read_tokens, write_tokens
 from skein.session import cut, scratch_path
@@ -41,6 +43,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeated_chunks(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_pieces(documents(spark, sf_dir), tokenizer_file(PIECES))
     return coded.select(
@@ -77,6 +84,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_duplicates(documents(spark, sf_dir))
+    kept = F.when(F.isnull("kept_text"), F.lower(F.hex("words_sha256"))).otherwise(F.sha2("kept_text", 256))
+    return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -84,10 +97,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op6_simhash": op6_simhash,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
