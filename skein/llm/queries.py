@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.encoding import encode_tokens
 from skein.llm.exact_dedup import exact_duplicates
+from skein.llm.html_wrappers import extract_main_text
 from skein.llm.line_dedup import without_repeated_chunks
 from skein.llm.packing import best_fit, cut_lengths
 from skein.llm.piece_codec import encode_pieces
@@ -43,6 +44,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeated_chunks(documents(spark, sf_dir))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -97,6 +103,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op6_simhash": op6_simhash,
