@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def text_key(text_col: str = "text") -> Column:
+    """64 bits over a text, null counting as empty; with the id it names a row where ids repeat."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text key are in ``gone(doc_id, text_key)``."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
+    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text_key(text_col) == F.col("_gone_key"))
+    return docs.join(gone, same, "left_anti")
+
+
 def id_type(docs: DataFrame, id_col: str = "doc_id") -> T.DataType:
     return docs.schema[id_col].dataType
 

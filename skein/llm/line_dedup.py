@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import id_and_text, id_type
+from skein.llm.common import id_and_text, id_type, text_key
 from skein.llm.exact_dedup import equal_texts
 from skein.llm.hashing import mix, rolling
 
@@ -76,7 +76,7 @@ def repeated_chunks(
     """
     key = [T.StructField("doc_id", id_type(docs, id_col)), T.StructField("text_key", T.LongType())]
     out = T.StructType([*key, T.StructField("chunk", T.IntegerType()), T.StructField("text", T.StringType())])
-    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", text_key().alias("text_key"), "text")
     rows = texts.mapInArrow(_chunk_rows(reach, spacing, out), out)
     place = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_key", "chunk")
     found = equal_texts(rows.select(place.alias("id"), "text"))
@@ -124,7 +124,7 @@ def without_repeated_chunks(
     )
     kept = docs.drop(*{"n_lines", "n_removed"} - {id_col, text_col})
     kept = kept.withColumn(text_col, F.col(text_col).cast("string"))
-    same = F.col(id_col).eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_text_key"))
+    same = F.col(id_col).eqNullSafe(F.col("_doc_id")) & (text_key(text_col) == F.col("_text_key"))
     marked = kept.join(removed, same, "left").select(*[F.col(f"`{c}`") for c in kept.columns], "_removed")
     out = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return marked.mapInArrow(_without(reach, spacing, kept.columns.index(text_col), out), out)

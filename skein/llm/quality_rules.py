@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import text_key
 from skein.session import cut
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -67,6 +68,7 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select(
         "doc_id",
         "host",
+        text_key().alias("text_key"),
         F.char_length(F.translate("text", _SPACE, "")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(_NOT_SPACE)).alias("lines"),
@@ -77,6 +79,7 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select(
         "doc_id",
         "host",
+        "text_key",
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -147,5 +150,5 @@ def quality_rules(
     joined = counts.join(verdicts, F.col("host").eqNullSafe(F.col("of")), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~F.coalesce("rejected", F.lit(False))).alias("kept"), "text_key",
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_batches, id_and_text, runs, schema
+from skein.llm.common import id_and_text, runs, schema, text_key
 from skein.llm.components import components
 from skein.session import cut
 
@@ -57,13 +57,16 @@ def fingerprint(text: bytes, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint long`` for every row; a null text counts as empty."""
-    out = schema(docs, id_col, fingerprint="long")
+    """``doc_id, fingerprint long`` and the ``text_key`` of every row; a null text counts as empty."""
+    out = schema(docs, id_col, fingerprint="long", text_key="long")
 
-    def rows(ids: pa.Array, texts: list[bytes]) -> tuple:
-        return ids, [fingerprint(t, shingle_words) for t in texts]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            prints = pa.array([fingerprint(t, shingle_words) for t in texts], pa.int64())
+            yield pa.record_batch([batch.column(0), prints, batch.column(2)], ["doc_id", "fingerprint", "text_key"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(arrow_batches(rows, out, as_bytes=True), out)
+    return id_and_text(docs, id_col, text_col).withColumn("text_key", text_key()).mapInArrow(run, out)
 
 
 def _parity(values: np.ndarray) -> np.ndarray:
@@ -212,7 +215,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
-    """``doc_id, fingerprint`` (16 lower-case hex digits) and ``component_id`` for every row of ``docs``.
+    """``doc_id, fingerprint`` (16 lower-case hex digits), ``component_id`` and ``text_key`` for every row of ``docs``.
 
     ``component_id`` is the smallest id that links of three or fewer differing bits reach, the row's own included. Null and
     empty texts have the fingerprint zero and link like any other; null ids never name a component unless it has no other id; rows
@@ -228,5 +231,5 @@ def near_duplicates(
     smallest = cut(labelled.groupBy("label").agg(F.min("first_id").alias("component_id")), "smallest")
     named = cut(labelled.join(smallest, "label").select(F.col("fp").alias("fingerprint"), "component_id"), "named")
     return own.join(named, "fingerprint").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", "text_key"
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import id_and_text, id_type, runs
+from skein.llm.common import id_and_text, id_type, runs, text_key
 from skein.llm.hashing import BASES, mix, rolling
 from skein.session import cut
 
@@ -224,7 +224,7 @@ def substring_duplicates(
         raise ValueError("a gram must not be longer than a window")
     kind = id_type(docs, id_col)
     key = [T.StructField("doc_id", kind), T.StructField("text_key", T.LongType())]
-    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", text_key().alias("text_key"), "text")
 
     profile = T.StructType([*key, T.StructField("n_words", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("names", T.ArrayType(T.LongType()))])
     profiles = cut(texts.mapInArrow(_profile(window, gram, profile), profile), "profiles")
