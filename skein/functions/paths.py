@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.functions.patterns import bracket
+
 
 def segments(path: Column) -> Column:
     return F.split(path, "/", -1)
@@ -38,19 +40,22 @@ def contains_any(path: Column, parts: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(path, F.lit(part)) for part in parts], F.lit(False))
 
 
+_GLOB_TOKEN = re.compile(r"\\(?P<escaped>.)|(?P<many>\*)|(?P<one>\?)|\[(?P<negated>[!^]?)(?P<members>\]?(?:\[:\w+:\]|[^\]])*)\]", re.S)
+
+
 def glob_regex(glob: str) -> str:
-    """A shell glob as an anchored Java regex."""
+    """A shell glob as an anchored Java regex; a backslash makes the next character itself."""
     out, at = [], 0
-    for found in re.finditer(r"\*|\?|\[([!^]?)(\]?[^\]]*)\]", glob):
+    for found in _GLOB_TOKEN.finditer(glob):
         out.append(re.escape(glob[at : found.start()]))
-        token = found.group(0)
-        if token == "*":
+        if found["many"]:
             out.append(".*")
-        elif token == "?":
+        elif found["one"]:
             out.append(".")
+        elif found["escaped"]:
+            out.append(re.escape(found["escaped"]))
         else:
-            members = re.sub(r"([\\\[\]&^])", r"\\\1", found.group(2))
-            out.append(f"[{'^' if found.group(1) else ''}{members}]")
+            out.append(bracket(found["members"], bool(found["negated"])))
         at = found.end()
     out.append(re.escape(glob[at:]))
     return r"(?s)\A" + "".join(out) + r"\z"

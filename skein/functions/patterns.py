@@ -39,9 +39,8 @@ def is_literal_column(pattern: Column, dialect: str) -> Column:
     return F.lit(True) if dialect == "literal" else ~F.rlike(pattern, F.lit(SPECIAL[dialect]))
 
 
-def _bracket(text: str) -> str:
-    negated = text.startswith("[^")
-    body = text[2 if negated else 1 : -1]
+def bracket(body: str, negated: bool) -> str:
+    """A Java character class for what stands between the brackets of a POSIX one."""
     names = re.split(r"\[:(\w+):\]", body)
     members = "".join(
         POSIX_CLASSES[part] if i % 2 else re.sub(r"([\\\[\]&^])", r"\\\1", part) for i, part in enumerate(names)
@@ -59,12 +58,14 @@ def basic_to_java(pattern: str) -> str:
     out: list[str] = []
     opening = True  # at the start of an expression: nothing to repeat, ^ anchors
     for i, token in enumerate(tokens):
-        escaped, bracket, plain = token.group("escaped", "bracket", "plain")
+        escaped, inside, plain = token.group("escaped", "bracket", "plain")
         following = tokens[i + 1].group(0) if i + 1 < len(tokens) else None
         starts_next = False
         if escaped is not None:
             if escaped in "(){}|+?":
                 out.append("\\" + escaped if opening and escaped in "+?{" else escaped)
+                if escaped == "{" and not opening and following == ",":
+                    out.append("0")  # Java wants the lower bound in writing
                 starts_next = escaped in "(|"
             elif escaped in "<>":
                 out.append(r"\b(?=\w)" if escaped == "<" else r"\b(?<=\w)")
@@ -72,8 +73,9 @@ def basic_to_java(pattern: str) -> str:
                 out.append("\\" + escaped)
             else:
                 out.append(re.escape(escaped))
-        elif bracket is not None:
-            out.append(_bracket(bracket))
+        elif inside is not None:
+            negated = inside.startswith("[^")
+            out.append(bracket(inside[2 if negated else 1 : -1], negated))
         elif plain == "*" and opening:
             out.append(r"\*")
         elif plain == "^":

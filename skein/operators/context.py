@@ -41,7 +41,8 @@ def line_context(files: DataFrame, requests: DataFrame, radius: int = 30) -> Dat
     placed = cut(
         requests.join(sizes, "file_path", "left").withColumn("last", F.least("last", "n_lines")), "context-ranges"
     )
-    wanted = placed.filter("first <= last").select(
+    # without a size the end of an unknown file would be that of the request, however large its radius
+    wanted = placed.filter("n_lines IS NOT NULL AND first <= last").select(
         "request_id",
         "file_path",
         "first",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -20,6 +21,8 @@ from skein.sources.files import dispatch
 EXTRACTED = T.StructType(
     [
         T.StructField("file_path", T.StringType()),
+        T.StructField("module", T.StringType()),
+        T.StructField("content_hash", T.StringType()),
         T.StructField("ok", T.BooleanType()),
         T.StructField("symbols", T.ArrayType(SYMBOL)),
         T.StructField("raw_edges", T.ArrayType(EDGES)),
@@ -38,12 +41,19 @@ _ARROW_EDGE = pa.struct([(name, pa.string()) for name in EDGES.names])
 _ARROW_OUT = pa.schema(
     [
         ("file_path", pa.string()),
+        ("module", pa.string()),
+        ("content_hash", pa.string()),
         ("ok", pa.bool_()),
         ("symbols", pa.list_(_ARROW_SYMBOL)),
         ("raw_edges", pa.list_(_ARROW_EDGE)),
     ]
 )
 
+_LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+# Source text whose rows go out together.
+BATCH_CHARS = 4 * 1024 * 1024
+
 
 def _dotted(node: ast.AST) -> str | None:
     """``a.b.c`` for a chain of attributes on a plain name, None for anything else."""
@@ -58,7 +68,8 @@ def _dotted(node: ast.AST) -> str | None:
 
 def _summary(node: ast.AST) -> str:
     doc = ast.get_docstring(node)
-    return doc.splitlines()[0] if doc else ""
+    # an escape in a docstring can make half of a surrogate pair, which no table can hold
+    return _LONE_SURROGATE.sub("\ufffd", doc.splitlines()[0]) if doc else ""
 
 
 def scan_python(path: str, module: str, text: str) -> tuple[list[dict], set[tuple[str, str, str]]]:
@@ -120,23 +131,41 @@ def scan_python(path: str, module: str, text: str) -> tuple[list[dict], set[tupl
     return symbols, edges
 
 
+def _parses(path: str, module: str, text: str) -> tuple[list[dict], set[tuple[str, str, str]]] | None:
+    """What ``scan_python`` finds, None for a file that does not parse.
+
+    The parser reports nesting beyond its stack as a memory error of its own; one of the task itself is not about the file.
+    """
+    try:
+        return scan_python(path, module, text)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    except MemoryError as error:
+        if "Parser stack overflowed" in str(error):
+            return None
+        raise
+
+
 def python_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for path, module, text in zip(*(batch.column(name).to_pylist() for name in ("file_path", "module", "text"))):
-            try:
-                symbols, edges = scan_python(path, module, text)
-                ok = True
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                symbols, edges, ok = [], set(), False
+        rows, size = [], 0
+        for path, module, text, content_hash in zip(*(c.to_pylist() for c in map(batch.column, ("file_path", "module", "text", "content_hash")))):
+            found = _parses(path, module, text)
+            symbols, edges = found or ([], set())
             rows.append(
                 {
                     "file_path": path,
-                    "ok": ok,
+                    "module": module,
+                    "content_hash": content_hash,
+                    "ok": found is not None,
                     "symbols": symbols,
                     "raw_edges": [dict(zip(EDGES.names, edge)) for edge in sorted(edges)],
                 }
             )
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_OUT)
+                rows, size = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_OUT)
 
 
@@ -144,7 +173,8 @@ def python_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class Extractor:
     """A file handler: which paths it takes, and its Arrow-batch body.
 
-    The body gets ``file_path, module, text`` and returns the ``EXTRACTED`` columns.
+    The body gets ``file_path, module, text, content_hash`` and returns the ``EXTRACTED`` columns; hash and module go through
+    it, so that what is stored about a file comes from one read.
     """
 
     name: str
@@ -158,13 +188,14 @@ PYTHON = Extractor("python", lambda path: F.endswith(path, F.lit(".py")), python
 def extract(
     files: DataFrame, extractors: Sequence[Extractor] = (PYTHON,), strip_prefix: str | None = None
 ) -> DataFrame:
-    """``file_path, text`` -> one row per handled file: ``file_path, ok, symbols, raw_edges``.
+    """``file_path, text[, content_hash]`` -> one row per handled file: the ``EXTRACTED`` columns.
 
     The first extractor that accepts a path handles it. ``symbols`` keeps duplicates, ``raw_edges`` is
-    a set already. Rows are whole files: keep ``spark.sql.execution.arrow.maxRecordsPerBatch`` small.
+    a set already. Rows are whole files; a body gets them in Arrow batches and gives out bounded ones.
     """
     path = F.col("file_path")
-    source = files.select("file_path", module_path(path, strip_prefix).alias("module"), "text")
+    content_hash = F.col("content_hash") if "content_hash" in files.columns else F.lit(None).cast("string")
+    source = files.select("file_path", module_path(path, strip_prefix).alias("module"), "text", content_hash.alias("content_hash"))
     chosen = dispatch(path, [(e.name, e.accepts(path)) for e in extractors])
     parts = [source.filter(chosen == e.name).mapInArrow(e.body, EXTRACTED) for e in extractors]
     return reduce(DataFrame.unionByName, parts)

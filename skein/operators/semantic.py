@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.answers import ranked
+from skein.session import cut
 
 # Query vectors of one pass; more queries take more passes over the vectors.
 QUERIES_PER_PASS = 1024
@@ -30,28 +31,32 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.full_like(rows, np.nan), where=norms > 0)
 
 
-def _scorer(names: list[str], queries: np.ndarray, id_type: pa.DataType, limit: int):
-    """Task body: score a batch against all queries, keep what can be among a query's first ``limit``."""
+def _best(scores: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``limit`` columns of every row by falling score, then by id; scores that are not numbers come last."""
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :limit]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(np.broadcast_to(ids, scores.shape), order, 1)
+
+
+def _scorer(numbers: list[int], queries: np.ndarray, limit: int):
+    """Task body: score all batches against the queries of a page, with the best ``limit`` so far for each of them."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(numbers), 0), -np.inf)
+        best_ids = np.zeros((len(numbers), 0), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             scores = np.round(queries @ _unit(_matrix(batch.column("embedding"), queries.shape[1])).T, SCORE_DIGITS)
             scores = np.where(np.isnan(scores), -np.inf, scores)  # a zero vector has no direction: never ranked
-            floor = np.full(len(names), -np.inf)
-            if batch.num_rows > limit:
-                # the k-th best score of the batch; everything that ties with it stays
-                floor = -np.partition(-scores, limit - 1, axis=1)[:, limit - 1]
-            query, row = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[i] for i in query], pa.string()),
-                    batch.column("vec_id").take(pa.array(row)).cast(id_type),
-                    pa.array(scores[query, row], pa.float64()),
-                ],
-                names=["request_id", "vec_id", "score"],
-            )
+            ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            scores, ids = _best(scores, ids, limit)
+            both = np.concatenate([best, scores], axis=1), np.concatenate([best_ids, ids], axis=1)
+            best, best_ids = _best(*both, limit)
+        query, place = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(numbers, np.int64)[query]), pa.array(best_ids[query, place]), pa.array(best[query, place])],
+            names=["query", "vec_id", "score"],
+        )
 
     return score
 
@@ -59,24 +64,24 @@ def _scorer(names: list[str], queries: np.ndarray, id_type: pa.DataType, limit:
 def search_semantic(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """The ``limit`` vectors (``vec_id, embedding``) nearest to every query (``request_id, embedding``) by cosine.
 
-    Answers ``request_id, vec_id, score, rank``; equal scores rank by ``vec_id``. Queries go to the tasks
-    in pages of bounded size, and every Arrow batch is cut to the rows that can still be in an answer.
+    Answers ``request_id, vec_id, score, rank``; equal scores rank by ``vec_id``. Every row of ``queries`` is a query of its own,
+    also where ids repeat. Queries are numbered in a written table and go to the tasks in pages of bounded size; a
+    task gives out at most ``limit`` rows per query.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
-    base = vectors.filter(F.isnotnull("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    schema = "request_id string, vec_id long, score double"
+    base = vectors.filter(F.isnotnull("embedding") & F.isnotnull("vec_id")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     asked = queries.select(F.col("request_id").cast("string").alias("request_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    parts, last = [], None
+    asked = cut(asked.filter(F.isnotnull("embedding")).withColumn("query", F.monotonically_increasing_id()), "queries")
+    parts, last = [], -1
     while limit:
-        page = asked if last is None else asked.filter(F.col("request_id") > last)
-        page = page.orderBy("request_id").limit(QUERIES_PER_PASS).collect()
+        page = asked.filter(F.col("query") > last).orderBy("query").limit(QUERIES_PER_PASS).select("query", "embedding").collect()
         if not page:
             break
-        body = _scorer([r[0] for r in page], _unit(np.array([r[1] for r in page])), pa.int64(), limit)
-        parts.append(base.mapInArrow(body, schema))
+        body = _scorer([r[0] for r in page], _unit(np.array([r[1] for r in page])), limit)
+        parts.append(base.mapInArrow(body, "query long, vec_id long, score double"))
         last = page[-1][0]
     if not parts:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    scored = reduce(DataFrame.unionByName, parts)
-    return ranked(scored, ["request_id"], [F.desc("score"), F.asc("vec_id")], limit)
+        return vectors.sparkSession.createDataFrame([], "request_id string, vec_id long, score double, rank int")
+    scored = ranked(reduce(DataFrame.unionByName, parts), ["query"], [F.desc("score"), F.asc("vec_id")], limit)
+    return scored.join(asked.select("query", "request_id"), "query").select("request_id", "vec_id", "score", "rank")

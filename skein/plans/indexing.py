@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.paths import module_path
 from skein.operators.extract import PYTHON, Extractor, extract, raw_edges_of, rejects_of, symbols_of
 from skein.operators.maintain import (
     changed_files,
@@ -38,8 +37,8 @@ class Index:
     raw_edges: DataFrame
     edges: DataFrame
 
-    def publish(self, root: str, source_batch: int | None = None) -> int:
-        return publish(root, {name: getattr(self, name) for name in TABLES}, source_batch)
+    def publish(self, root: str, source_batch: int | None = None, feed: str | None = None) -> int:
+        return publish(root, {name: getattr(self, name) for name in TABLES}, source_batch, feed=feed)
 
 
 @dataclass(frozen=True)
@@ -72,15 +71,16 @@ def parse_files(
     extractors: Sequence[Extractor] = (PYTHON,),
     strip_prefix: str | None = None,
 ) -> Parsed:
-    """Extract ``file_path, content, content_hash`` once; the result is a table that all later steps read."""
+    """Extract ``file_path, content, content_hash`` once; the result is a table that all later steps read.
+
+    Hashes come from that table too, so they are those of the bytes that were parsed.
+    """
     stamped = with_text(hashed)
     extracted = extract(stamped, extractors, strip_prefix)
     extracted = cut(extracted, "extracted")
     symbols, raw_edges = apply_plugins(symbols_of(extracted), raw_edges_of(extracted), plugins)
     symbols = dedupe_symbols(symbols).withColumn("last_indexed", F.current_timestamp())
-    handled = hashed.select(
-        "file_path", module_path(F.col("file_path"), strip_prefix).alias("module_path"), "content_hash"
-    )
+    handled = extracted.select("file_path", F.col("module").alias("module_path"), "content_hash")
     return Parsed(handled, conform(symbols, SYMBOLS), raw_edges.select(*RAW_EDGES.names), rejects_of(extracted))
 
 
@@ -121,7 +121,7 @@ def update_index(
     """
     hashed = changed_files(with_hash(handled_only(scan, extractors)), index.files)
     parsed = parse_files(hashed, plugins, extractors, strip_prefix)
-    touched = cut(parsed.handled, "handled")
+    touched = parsed.handled
     new_symbols = cut(parsed.symbols, "new-symbols")
     gone = touched.select("file_path")
     if deleted is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,7 @@ def build_session(app: str = "skein", master: str | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` where the cluster sets it.
 
-    Only a local-mode session without that setting gets a temporary folder of its own.
+    Only a local-mode session (one JVM, no executors elsewhere) without that setting gets a temporary folder of its own.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -44,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="skein-")
     context.setCheckpointDir(folder)
@@ -55,6 +56,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/skein/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this package, once no DataFrame that reads them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/skein")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -76,6 +83,6 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 
 
 def semi_join_by_size(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Keep the rows of ``big`` whose key occurs in ``keys``, as a filter in the scan stage when ``keys``
-    is small; otherwise ``big`` is returned as it is, because the caller joins with ``keys`` later anyway."""
-    return big.join(F.broadcast(keys), on, "left_semi") if fits_broadcast(keys) else big
+    """Keep the rows of ``big`` whose key occurs in ``keys``: as a filter in the scan stage when ``keys`` is
+    small, else by the join that Spark chooses."""
+    return big.join(F.broadcast(keys) if fits_broadcast(keys) else keys, on, "left_semi")

@@ -58,10 +58,11 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column("path").to_pylist():
             system, inner = fs.FileSystem.from_uri(path)
             try:
-                with system.open_input_stream(inner) as stream:
+                # raw bytes, whatever the name ends in
+                with system.open_input_stream(inner, compression=None) as stream:
                     rows.append((path, stream.read()))
-            except OSError:
-                continue  # listed, but not there or not readable: skipped
+            except (FileNotFoundError, PermissionError):
+                continue  # listed, but gone or not ours to read; any other error fails the task, which is tried again
             size += len(rows[-1][1])
             if size >= BATCH_BYTES:
                 yield flush(rows)
@@ -95,7 +96,7 @@ def walk_tree(spark: SparkSession, root: str, prune: Sequence[str] | None = None
 
 
 def read_files(paths: DataFrame) -> DataFrame:
-    """``path, content`` of the files in ``paths``; a path that cannot be read is skipped."""
+    """``path, content`` of the files in ``paths``; a path that is gone or may not be read is skipped."""
     return _spread(paths.select("path")).mapInArrow(_read_files, READ)
 
 
@@ -112,17 +113,25 @@ def scan_tree(
     prefix: str | None = None,
     globs: Sequence[str] = (),
     prune: Sequence[str] | None = None,
+    exclude: Sequence[str] = (),
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """Every file below ``root`` as ``file_path, content``.
 
     Paths are relative to ``root`` and start with ``prefix`` (the base name of ``root`` when not given,
     nothing when empty), so that ``scan_tree(spark, "/data/src")`` yields ``src/app/models.py``.
-    Only files whose base name matches one of ``globs`` are read; ``prune`` is that of ``walk_tree``.
+    Only files whose base name matches one of ``globs``, whose path holds none of the ``exclude`` strings and, with a
+    ``listing`` (``file_path``), which it lists are read; ``prune`` is that of ``walk_tree``.
     """
     paths = walk_tree(spark, root, prune)
     if globs:
         paths = paths.filter(base_name_matches(F.col("path"), globs))
-    return read_files(paths).select(_relative(F.col("path"), root, prefix).alias("file_path"), "content")
+    named = paths.withColumn("file_path", _relative(F.col("path"), root, prefix))
+    if exclude:
+        named = drop_excluded(named, exclude)
+    if listing is not None:
+        named = restrict_to(named, listing)
+    return read_files(named).select(_relative(F.col("path"), root, prefix).alias("file_path"), "content")
 
 
 def scan_listed(listing: DataFrame, root: str, prefix: str | None = None) -> DataFrame:

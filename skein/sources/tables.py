@@ -13,6 +13,7 @@ POINTER = T.StructType(
         T.StructField("version", T.LongType()),
         T.StructField("source_batch", T.LongType()),
         T.StructField("published", T.TimestampType()),
+        T.StructField("feed", T.StringType()),
     ]
 )
 
@@ -33,7 +34,9 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     return pointers(spark, root).agg(F.max("version")).first()[0]
 
 
-def publish(root: str, tables: Mapping[str, DataFrame], source_batch: int | None = None, cluster: bool = True) -> int:
+def publish(
+    root: str, tables: Mapping[str, DataFrame], source_batch: int | None = None, cluster: bool = True, feed: str | None = None
+) -> int:
     """Write all ``tables`` as the next version below ``root``; they become visible together.
 
     The data goes to a directory of its own and the pointer row is appended last, so a run that
@@ -50,6 +53,7 @@ def publish(root: str, tables: Mapping[str, DataFrame], source_batch: int | None
         F.lit(version).cast("long").alias("version"),
         F.lit(source_batch).cast("long").alias("source_batch"),
         F.current_timestamp().alias("published"),
+        F.lit(feed).cast("string").alias("feed"),
     )
     row.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return version

@@ -20,42 +20,51 @@ def latest_versions(changes: DataFrame, order: Sequence[str]) -> DataFrame:
     return changes.groupBy("file_path").agg(last).select("file_path", *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def _already_done(spark, root: str, batch_id: int) -> bool:
-    return not pointers(spark, root).filter(F.col("source_batch") >= batch_id).isEmpty()
+def _feed_of(batch: DataFrame, feed: str | None) -> str:
+    """The given name, else the id of the streaming query, which a checkpoint keeps and a new checkpoint changes."""
+    return feed or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
-def apply_versions(root: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def _already_done(spark, root: str, feed: str, batch_id: int) -> bool:
+    same = (F.coalesce(F.col("feed"), F.lit("")) == feed) & (F.col("source_batch") == batch_id)
+    return not pointers(spark, root).filter(same).isEmpty()
+
+
+def apply_versions(root: str, order: Sequence[str], feed: str | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: merge a batch of ``file_path, content, <order>`` into the ``versions`` table.
 
     The order columns stay in the table, so a batch that arrives late does not undo a newer version.
-    A replayed batch is skipped by its id.
+    A replayed batch is known by its feed and id. Batch ids start anew with every checkpoint, so a feed is the
+    streaming query of one checkpoint unless it is named.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _already_done(spark, root, batch_id):
+        name = _feed_of(batch, feed)
+        if _already_done(spark, root, name, batch_id):
             return
         if current_version(spark, root) is not None:
             batch = read_table(spark, root, "versions").unionByName(batch)
-        publish(root, {"versions": latest_versions(batch, order)}, source_batch=batch_id)
+        publish(root, {"versions": latest_versions(batch, order)}, source_batch=batch_id, feed=name)
 
     return merge
 
 
-def apply_to_index(root: str, order: Sequence[str], **options) -> Callable[[DataFrame, int], None]:
+def apply_to_index(root: str, order: Sequence[str], feed: str | None = None, **options) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: update the index published below ``root`` with the changed files of a batch.
 
     Within a batch the last version of a path wins; batches are taken in feed order. ``options`` go to
-    ``update_index``.
+    ``update_index``; ``feed`` is that of ``apply_versions``.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _already_done(spark, root, batch_id):
+        name = _feed_of(batch, feed)
+        if _already_done(spark, root, name, batch_id):
             return
         index = empty_index(spark) if current_version(spark, root) is None else load_index(spark, root)
         newest = cut(latest_versions(batch, order).select("file_path", F.col("content").cast("binary").alias("content")), "feed")
-        update_index(index, newest, **options).publish(root, source_batch=batch_id)
+        update_index(index, newest, **options).publish(root, source_batch=batch_id, feed=name)
 
     return merge
 
