@@ -33,29 +33,26 @@ class Rules:
     host_limit: float = 0.8
 
 
-def _repeat_words(words: Column, unit: Column) -> Column:
-    """Words inside windows of eight that occur twice or more in ``words``; ``unit(i)`` stands for the window at i."""
-    keyed = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(unit(i).alias("w"), i.alias("i"))))
-    return keyed
+def _sorted_windows(words: Column) -> Column:
+    """Windows of eight words as ``(w, i)``, sorted by their text ``w`` and then by their place ``i``."""
+    places = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    return F.array_sort(F.transform(places, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
 
 
-def _covered(keyed: Column) -> Column:
-    """Number of words that the equal neighbours in the sorted ``keyed`` windows cover together."""
-    last = F.size(keyed) - 1
+def _repeated_places(windows: Column) -> Column:
+    """Places, in order, of the sorted ``windows`` that have an equal neighbour."""
 
-    def same(i: Column, j: Column) -> Column:
-        return F.get(keyed, i)["w"] == F.get(keyed, j)["w"]
+    def equal(i: Column, j: Column) -> Column:
+        return F.get(windows, i)["w"] == F.get(windows, j)["w"]
 
-    places = F.array_sort(
-        F.transform(
-            F.filter(keyed, lambda x, i: F.when(i > 0, same(i, i - 1)).otherwise(False) | F.when(i < last, same(i, i + 1)).otherwise(False)),
-            lambda x: x["i"],
-        )
-    )
-    return places
+    before = lambda i: F.when(i > 0, equal(i, i - 1)).otherwise(False)
+    after = lambda i: F.when(i < F.size(windows) - 1, equal(i, i + 1)).otherwise(False)
+    repeated = F.filter(windows, lambda x, i: before(i) | after(i))
+    return F.array_sort(F.transform(repeated, lambda x: x["i"]))
 
 
-def _sum_cover(places: Column) -> Column:
+def _covered_words(places: Column) -> Column:
+    """Number of words in windows that begin at ``places``: each adds eight, or what is left up to the next one."""
     gaps = F.transform(places, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(places, i + 1) - p, F.lit(WINDOW))))
     return F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
 
@@ -90,10 +87,9 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # equal hashes only choose the documents to look at; the windows themselves are compared
     suspect = F.size(F.array_distinct("windows")) < F.size("windows")
-    keyed = _repeat_words(words, lambda i: F.array_join(F.slice(words, i + 1, WINDOW), " "))
-    rows = rows.withColumn("keyed", F.when(suspect, keyed)).drop("words", "windows")
-    rows = rows.withColumn("places", F.when(F.isnotnull("keyed"), _covered(F.col("keyed")))).drop("keyed")
-    repeated = F.when(F.isnotnull("places"), _sum_cover(F.col("places"))).otherwise(0)
+    rows = rows.withColumn("keyed", F.when(suspect, _sorted_windows(words))).drop("words", "windows")
+    rows = rows.withColumn("places", F.when(F.isnotnull("keyed"), _repeated_places(F.col("keyed")))).drop("keyed")
+    repeated = F.when(F.isnotnull("places"), _covered_words(F.col("places"))).otherwise(0)
     return rows.withColumn("n_repeat_words", repeated.cast("long")).drop("places")
 
 

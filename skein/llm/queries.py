@@ -97,7 +97,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir)).drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -121,4 +121,59 @@ ORACLES: dict[str, str] = {
         ), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t
     """,
+    "op9_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM d),
+        windows AS (
+            SELECT doc_id, word, i, n, CASE WHEN i + 50 <= n THEN md5(string_agg(word, ' ') OVER (
+                PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS h
+            FROM w
+        ),
+        starts AS (SELECT doc_id, word, i, h IS NOT NULL AND min(doc_id) OVER (PARTITION BY h) < doc_id AS later FROM windows),
+        marked AS (
+            SELECT doc_id, word, i, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+            FROM starts
+        ),
+        kept AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t
+            FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
+    "op10_quality_rules": """
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (
+            SELECT doc_id, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM d
+        ),
+        places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8),
+        windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i+7], ' ')) AS n FROM places),
+        covered AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM windows WHERE n > 1),
+        repeats AS (SELECT doc_id, sum(least(8, coalesce(j - i, 8))) AS r FROM covered GROUP BY doc_id),
+        c AS (
+            SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+                coalesce(r, 0)::BIGINT AS n_repeat_words
+            FROM w LEFT JOIN repeats ON w.doc_id = repeats.doc_id
+        ),
+        f AS (
+            SELECT *, unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 100 * n_symbols > 30 * word_chars,
+                100 * n_dup_lines > 50 * n_lines]) AS failed, unnest(range(4)) AS rule FROM c
+        ),
+        h AS (SELECT rule, source, count(*) AS n, count(*) FILTER (failed) AS k FROM f GROUP BY ALL),
+        m AS (SELECT rule, sum(k) / sum(n) AS mean, count(*) AS hosts, sum(n) AS docs FROM h GROUP BY rule),
+        s AS (SELECT h.rule, sum(n * (k / n - mean) ^ 2) / any_value(docs) AS spread FROM h JOIN m ON h.rule = m.rule GROUP BY h.rule),
+        p AS (
+            SELECT m.rule, mean, least(greatest(mean * (1 - mean) / greatest(spread - mean * (1 - mean) * hosts / docs, 1e-12) - 1, 1), 1e6) AS weight
+            FROM m JOIN s ON m.rule = s.rule
+        ),
+        v AS (SELECT source, max((k + mean * weight) / (n + weight)) > 0.8 AS rejected FROM h JOIN p ON h.rule = p.rule GROUP BY source)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT rejected AS kept
+        FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
+    """,
 }
