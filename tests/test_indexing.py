@@ -277,7 +277,7 @@ def test_feed_keeps_an_index(spark, tmp_path):
 
     def run():
         changes = spark.readStream.schema(schema).parquet(feed)
-        run_feed(changes, apply_to_index(root, ["seq"]), str(tmp_path / "progress"))
+        run_feed(changes, apply_to_index(root, ["seq"], feed="tree"), str(tmp_path / "progress"))
 
     append(VERSION_1, 1)
     run()
@@ -287,7 +287,7 @@ def test_feed_keeps_an_index(spark, tmp_path):
     for name in TABLES:
         assert content(got, name) == content(want, name), name
     version = current_version(spark, root)
-    apply_to_index(root, ["seq"])(spark.createDataFrame([("p/x.py", bytearray(b"x"), 9)], schema), 0)  # a replayed batch
+    apply_to_index(root, ["seq"], feed="tree")(spark.createDataFrame([("p/x.py", bytearray(b"x"), 9)], schema), 0)  # a replayed batch
     assert current_version(spark, root) == version
 
 

@@ -14,10 +14,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    # the operators for training data, which SQL cannot all express, have tests of their own
+    assert set(entry.QUERIES) == set(entry.ORACLES)
+    assert set(entry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_equals_sql(spark, con, name):
     rows, problems = compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert not problems
