@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,36 +21,61 @@ MARK = "▁"
 _CROSSING = re.compile(f"[^{MARK}]{MARK}")
 _ODD_SPACES = re.compile(r"  |\A | \Z")
 _CHUNK = re.compile(r" +[^ ]+| +\Z")
+# Words that go through the library in one text.
+TOGETHER = 256
 
 
 class ChunkTable:
-    """Segments of marked words: ``ids`` by word, and what those ids decode to in ``texts``.
+    """Segments of marked words: their ids (little-endian 32-bit) by word, and what ids decode to where that is not the word.
 
-    A word is kept without the marker in front of it. The tables are emptied when they hold ``limit`` words.
+    A word is kept without the marker in front of it. When the table holds ``limit`` words it becomes the older generation and a
+    new one begins, so words that come often stay.
     """
 
-    def __init__(self, model: str, limit: int = 300_000) -> None:
+    def __init__(self, model: str, limit: int = 350_000) -> None:
         from sentencepiece import SentencePieceProcessor
 
         self.pieces = SentencePieceProcessor(model_file=model)
         self.limit = limit
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.texts: dict[str, str] = {}
-        for i in range(self.pieces.get_piece_size()):
-            if _CROSSING.search(self.pieces.id_to_piece(i)):
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.changed: dict[str, str] = {}
+        names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
+        for i, name in enumerate(names):
+            if _CROSSING.search(name):
                 raise ValueError(f"piece {i} crosses a white-space marker, so words cannot be segmented apart")
+        self.marked = np.array([name.startswith(MARK) for name in names])
         self.mark = self.pieces.piece_to_id(MARK)
 
     def add(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
+        new = words.difference(self.ids)
         if len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
-            self.texts.clear()
-            new = list(words)
+            self.older, self.ids = self.ids, {}
+            new = words
+        known = {w: self.older[w] for w in new if w in self.older}
+        self.ids.update(known)
+        new = list(new.difference(known))
+        odd = [w for w in new if not w or " " in w]
         # the library puts the marker in front of a text, but gives nothing at all for an empty one
-        segments = [ids if w else [self.mark] for w, ids in zip(new, self.pieces.encode(new, num_threads=1), strict=True)]
-        self.ids.update(zip(new, map(tuple, segments), strict=True))
-        self.texts.update(zip(new, self.pieces.decode(segments, num_threads=1) if segments else [], strict=True))
+        self.keep(odd, [ids if w else [self.mark] for w, ids in zip(odd, self.pieces.encode(odd, num_threads=1), strict=True)])
+        plain = [w for w in new if w and " " not in w]
+        for start in range(0, len(plain), TOGETHER):
+            some = plain[start : start + TOGETHER]
+            ids = np.array(self.pieces.encode(" ".join(some)), "<i4")
+            # a word begins where a piece begins with the marker
+            cuts = [*(4 * np.flatnonzero(self.marked[ids])).tolist(), 4 * len(ids)]
+            flat = ids.tobytes()
+            self.ids.update(zip(some, [flat[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+            decoded = self.pieces.decode(ids.tolist()).split(" ")
+            if decoded != some:
+                self.changed.update({w: d for w, d in zip(some, decoded, strict=True) if w != d})
+
+    def keep(self, words: list[str], segments: list[list[int]]) -> None:
+        for word, ids in zip(words, segments, strict=True):
+            self.ids[word] = np.array(ids, "<i4").tobytes()
+            decoded = self.pieces.decode(ids)
+            if decoded != word:
+                self.changed[word] = decoded
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -61,25 +86,25 @@ class ChunkTable:
             return [chunk[1:] for chunk in _CHUNK.findall(" " + text)]
         return text.split(" ")
 
-    def groups(self, texts: list[str], size: int = 512) -> Iterator[list[list[str]]]:
-        for start in range(0, len(texts), size):
-            some = [self.words(t) for t in texts[start : start + size]]
-            self.add({w for words in some for w in words})
-            yield some
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for w in words for i in self.ids[w]] for some in self.groups(texts) for words in some]
-
-    def encode_and_decode(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+    def encode_and_decode(self, texts: list[str], group: int = 512) -> tuple[list[bytes], list[str]]:
         """The ids of every text, and the text that those ids decode to."""
-        ids: list[list[int]] = []
+        ids: list[bytes] = []
         decoded: list[str] = []
-        for some in self.groups(texts):
-            ids += [[i for w in words for i in self.ids[w]] for words in some]
-            decoded += [" ".join(map(self.texts.__getitem__, words)) for words in some]
+        for start in range(0, len(texts), group):
+            some = [self.words(t) for t in texts[start : start + group]]
+            self.add(set().union(*some))
+            ids += [b"".join(map(self.ids.__getitem__, words)) for words in some]
+            changed = self.changed
+            decoded += [" ".join([changed.get(w, w) for w in words] if changed else words) for words in some]
         return ids, decoded
 
 
+def id_lists(coded: list[bytes]) -> pa.ListArray:
+    """Arrow lists of 32-bit ids from the bytes of each."""
+    ends = np.cumsum([0, *map(len, coded)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+
 @functools.lru_cache(maxsize=2)
 def chunk_table(model: str) -> ChunkTable:
     """The table of this Python worker, which later tasks of the worker go on with."""
@@ -95,8 +120,8 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     out = schema(docs, id_col, ids="array<int>", **({"decoded": "string"} if decode else {}))
 
     def rows(ids: pa.Array, texts: list[str]) -> tuple:
-        table = chunk_table(model)
-        return (ids, *table.encode_and_decode(texts)) if decode else (ids, table.encode(texts))
+        coded, decoded = chunk_table(model).encode_and_decode(texts)
+        return (ids, id_lists(coded), decoded) if decode else (ids, id_lists(coded))
 
     return id_and_text(docs, id_col, text_col).mapInArrow(arrow_batches(rows, out), out)
 
