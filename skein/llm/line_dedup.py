@@ -1,8 +1,8 @@
 """Removal of repeated multi-line chunks, with chunk borders that the lines themselves choose.
 
-A rolling hash over the hashes of neighbouring lines ends a chunk where it falls on one value in ``SPACING``. A border
-depends on the lines around it alone, so a passage is cut in the same way wherever it stands, but for its ends. Chunks with
-equal bytes are grouped over all documents, and all but the first are taken out.
+A rolling hash over the hashes of neighbouring word lines marks half of them, and the last of a run of marked ones ends a chunk. A border
+depends on the lines around it alone, so a passage is cut in the same way wherever it stands, but for its ends, and no chunk
+is a single line. Chunks with equal bytes are grouped over all documents, and all but the first are taken out.
 """
 
 from __future__ import annotations
@@ -19,24 +19,33 @@ from skein.llm.common import id_and_text, id_type, text_key
 from skein.llm.exact_dedup import equal_texts
 from skein.llm.hashing import mix, rolling
 
-# Lines that the rolling hash looks at, and lines per chunk on average.
+# Word lines that the rolling hash looks at, and word lines per chunk on average.
 REACH = 2
 SPACING = 4
 
 
 def chunk_ends(lines: list[bytes], reach: int = REACH, spacing: int = SPACING) -> list[int]:
-    """The ends of the chunks of a text: each is one past a chunk's last line, and the last is the number of lines."""
+    """The ends of the chunks of a text: each is one past a chunk's last line, and the last is the number of lines.
+
+    Borders are set on the lines that hold a word; others go with the word line before them, those at the start with the first chunk. A word
+    line is marked when the rolling hash that ends there is low, and closes its chunk when the next one is not marked. So no two in a
+    row close one, every chunk has at least two word lines if the text has, and one word line in ``spacing`` (4 or more) is an end.
+    """
     from xxhash import xxh3_64_digest
 
-    hashes = np.frombuffer(b"".join(map(xxh3_64_digest, lines)), ">u8").astype(np.uint64)
-    if len(lines) <= reach:
+    places = [i for i, line in enumerate(lines) if line.strip()]
+    if len(places) <= reach + 1:
         return [len(lines)]
-    ends = np.flatnonzero(mix(rolling(hashes, reach), 5) % np.uint64(spacing) == 0) + reach
-    return [*ends[ends < len(lines)].tolist(), len(lines)]
+    hashes = np.frombuffer(b"".join(xxh3_64_digest(lines[i]) for i in places), ">u8").astype(np.uint64)
+    low = mix(rolling(hashes, reach), 5) < np.uint64((1 - (1 - 4 / spacing) ** 0.5) / 2 * 2**64)
+    closing = np.flatnonzero(low[:-1] & ~low[1:]) + reach - 1
+    after = closing[(closing > 0) & (closing < len(places) - 2)] + 1
+    return [*(places[i] for i in after.tolist()), len(lines)]
 
 
 def chunks(text: bytes, reach: int = REACH, spacing: int = SPACING) -> list[tuple[int, int, bool]]:
-    """``(first line, end, multi-line)`` of every chunk; a chunk is multi-line when two of its lines hold a word."""
+    """``(first line, end, multi-line)`` of every chunk; a chunk is multi-line when two of its lines hold a word, as it is when two of the
+    text do."""
     lines = text.split(b"\n")
     starts, out = 0, []
     for end in chunk_ends(lines, reach, spacing):

@@ -52,6 +52,39 @@ def test_chunks_cover_the_text():
         assert all(a[1] == b[0] for a, b in zip(places, places[1:]))
 
 
+def test_every_chunk_has_two_word_lines():
+    rng = random.Random(3)
+    for blanks in (0, 1, 2):
+        for n in [*range(2, 12), 500]:
+            lines = [part for _ in range(n) for part in (b"line %d" % rng.randrange(10**6), *[b""] * blanks)]
+            places = chunks(b"\n".join(lines))
+            assert all(sum(1 for line in lines[a:b] if line) >= 2 for a, b, _ in places)
+            assert n < 500 or 100 < len(places) < 150
+
+
+def test_planted_passages_go_whole(spark):
+    """A copy of a text leaves nothing; of a passage inside others, only lines next to its two ends stay."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        passage = [f"passage {k} {rng.random()}" for _ in range(rng.randint(2, 40))]
+        if k % 3:
+            passage = [part for line in passage for part in (line, *[""] * (k % 3))]
+        rows += [(3 * k, "\n".join(passage)), (3 * k + 1, "\n".join(passage))]
+        rows.append((3 * k + 2, "\n".join([f"before {k} {i}" for i in range(9)] + passage + [f"after {k} {i}" for i in range(9)])))
+    left = {r.doc_id: r for r in without_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    inside = 0
+    for k in range(60):
+        assert left[3 * k].n_removed == 0 and left[3 * k].text == rows[3 * k][1]
+        assert left[3 * k + 1].text == "" and left[3 * k + 1].n_removed == left[3 * k + 1].n_lines
+        lines, kept = rows[3 * k + 2][1].split("\n"), left[3 * k + 2].text.split("\n")
+        head = next((i for i, (a, b) in enumerate(zip(lines, kept)) if a != b), len(kept))
+        assert kept[head:] == lines[len(lines) - (len(kept) - head) :]  # one hole, no stub inside it
+        assert [x for x in lines if x.startswith(("before", "after"))] == [x for x in kept if x.startswith(("before", "after"))]
+        inside += left[3 * k + 2].n_removed
+    assert inside > 400
+
+
 def test_repeated_chunks_go(spark):
     rng = random.Random(2)
     passages = [[f"p{p} line {i}" for i in range(rng.randint(2, 14))] for p in range(8)] + [[""] * 6]
