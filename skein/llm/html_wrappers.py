@@ -6,8 +6,8 @@ becomes optional, and text that differs between pages becomes a slot. Below one
 an expression grows with the kinds of elements of a host, not with its pages.
 
 Aligning is a merge of two expressions. Each task merges its own pages by host, salted parts of a host are merged next and
-then the host's few parts, so no task ever sees all pages of a host. The expression says which elements hold the article, and a join by
-host takes that back to the pages.
+then the host's few parts, so no task ever sees all pages of a host. Articles and main elements are taken page by page; for pages with neither,
+the expression says which element holds the text, and a join by host takes that back to the pages.
 """
 
 from __future__ import annotations
@@ -20,26 +20,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.page_tree import Node, at_paths, blocks, parse
+from skein.llm.page_tree import Node, at_paths, blocks, outermost, parse
 from skein.session import cut
 
 SALTS = 256
 _HOSTS_AT_ONCE = 20_000
 
 # An expression is a list: name, boilerplate, pages, repeated, starts over with its neighbours, characters, link characters, text or null
-# for a slot, children.
-NAME, BOILERPLATE, PAGES, REPEATED, GROUPED, CHARS, LINKS, TEXT, KIDS = range(9)
+# for a slot, children, characters outside links on pages without article or main.
+NAME, BOILERPLATE, PAGES, REPEATED, GROUPED, CHARS, LINKS, TEXT, KIDS, PLAIN = range(10)
 
 
-def of_page(node: Node) -> list:
-    """The expression of one page, from the block below ``node`` on."""
+def of_page(node: Node, plain: bool | None = None) -> list:
+    """The expression of one page, from the block below ``node`` on; ``plain`` when the page has neither article nor main."""
+    plain = not (outermost(node, "article") or outermost(node, "main")) if plain is None else plain
     texts = [k for k in node.kids if isinstance(k, str)]
     links = [k[0] for k in node.kids if isinstance(k, tuple)]
     text = " ".join(" ".join([*texts, *links]).split())
-    own = [node.name, node.boilerplate, 1, False, False, len(text), sum(map(len, links)), text if len(text) <= 200 else None, []]
+    own = [node.name, node.boilerplate, 1, False, False, len(text), sum(map(len, links)), text if len(text) <= 200 else None, [], (len(text) - sum(map(len, links))) * plain]
     for kid in node.kids:
         if isinstance(kid, Node):
-            _take(own[KIDS], of_page(kid), 0)
+            _take(own[KIDS], of_page(kid, plain), 0)
     return own
 
 
@@ -64,6 +65,7 @@ def merge(a: list, b: list, pages: int | None = None) -> list:
     a[GROUPED] |= b[GROUPED]
     a[CHARS] += b[CHARS]
     a[LINKS] += b[LINKS]
+    a[PLAIN] += b[PLAIN]
     if a[TEXT] != b[TEXT]:
         a[TEXT] = None
     places = {kid[NAME]: i for i, kid in enumerate(a[KIDS])}
@@ -108,34 +110,19 @@ def _written(kids: list, pages: int) -> str:
 
 
 def _mass(own: list, slots_only: bool) -> int:
-    """Characters outside links and boilerplate; of slots only, if asked."""
+    """Characters outside links and boilerplate on pages without article or main; of slots only, if asked."""
     if own[BOILERPLATE]:
         return 0
-    mine = own[CHARS] - own[LINKS] if own[TEXT] is None or not slots_only else 0
+    mine = own[PLAIN] if own[TEXT] is None or not slots_only else 0
     return mine + sum(_mass(kid, slots_only) for kid in own[KIDS])
 
 
 def main_paths(own: list) -> list[list[str]]:
-    """Names from the top of the elements that hold the article on the pages of this expression.
+    """Names from the top of the element that holds the main text of those pages that have neither article nor main element.
 
-    These are the outermost articles with at least a tenth of the text of the largest one, else such main elements, else the
-    innermost element that holds four fifths of the text. Text that is the same on all pages does not count, unless all is.
+    This is the innermost element with four fifths of their text. Text that is the same on all pages does not count, unless all is.
     """
     slots_only = own[PAGES] > 1 and _mass(own, True) > 0
-    for tag in ("article", "main"):
-        found: list[tuple[int, list[str]]] = []
-        todo: list[tuple[list, list[str]]] = [(own, [])]
-        while todo:
-            node, path = todo.pop()
-            if node[BOILERPLATE]:
-                continue
-            if node[NAME].split(".")[0] == tag:
-                found.append((_mass(node, slots_only), path))
-                continue
-            todo += [(kid, [*path, kid[NAME]]) for kid in node[KIDS]]
-        largest = max((mass for mass, _ in found), default=0)
-        if found:
-            return sorted(path for mass, path in found if 10 * mass >= largest)
     path: list[str] = []
     node, whole = own, _mass(own, slots_only)
     while True:
@@ -215,9 +202,11 @@ def _rules(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(page: str, paths: list[list[str]]) -> str:
-    """The article of one page: the blocks of the elements at ``paths``, or of the whole page where it has none of them."""
+    """The main text of one page: the blocks of its outermost articles, else of its main elements, else of the elements at ``paths``, else of
+    the element that ``main_paths`` finds on the page alone."""
     root = parse(page)
-    return "\n".join(blocks(at_paths(root, paths) or [root]))
+    found = outermost(root, "article") or outermost(root, "main") or at_paths(root, paths) or at_paths(root, main_paths(of_page(root)))
+    return "\n".join(blocks(found))
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,6 +183,19 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
         held = []
 
 
+def outermost(root: Node, tag: str) -> list[Node]:
+    """The elements of a name outside boilerplate, in page order, none inside another."""
+    out: list[Node] = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == tag:
+            out.append(node)
+            continue
+        todo += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.boilerplate]
+    return out
+
+
 def at_paths(root: Node, paths: list[list[str]]) -> list[Node]:
     """The elements of a page whose names from the top are one of ``paths``, in page order, none inside another."""
     wanted = {tuple(p) for p in paths}

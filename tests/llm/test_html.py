@@ -107,3 +107,13 @@ def test_html_query(spark):
         body = "\n".join(b for b in found if b)
         want.append((r.page_id, r.url, body, len(body)))
     assert plain(QUERIES["op3_html_extraction"](spark, SF)) == sorted(want, key=repr)
+
+
+def test_templates_of_few_pages_keep_their_article():
+    common = "<body><p>top</p><article class=a>common text %d " + "word " * 100 + "</article></body>"
+    rare = "<body><p>top</p><article class=b>rare text</article></body>"
+    both = "<body><p>top</p><article class=a>one</article><article class=b>two</article></body>"
+    by_main, plain_page = "<body><p>top</p><main>by main</main></body>", "<body><h1>x</h1><div class=c>" + "plain " * 9 + "</div></body>"
+    paths = main_paths(wrapper(*[common % i for i in range(60)], rare, both, by_main, plain_page))
+    assert main_text(rare, paths) == "rare text" and main_text(both, paths) == "one\ntwo"
+    assert main_text(by_main, paths) == "by main" and main_text(plain_page, paths) == ("plain " * 9).strip()
