@@ -61,6 +61,7 @@ def _take(kids: list, new: list, pages: int) -> None:
 def merge(a: list, b: list, pages: int | None = None) -> list:
     """``a`` aligned with ``b``, in place. ``pages`` is how many pages ``b`` adds; all of its own if not given."""
     a[PAGES] += b[PAGES] if pages is None else pages
+    a[BOILERPLATE] &= b[BOILERPLATE]
     a[REPEATED] |= b[REPEATED]
     a[GROUPED] |= b[GROUPED]
     a[CHARS] += b[CHARS]

@@ -49,17 +49,18 @@ BREAK = None
 class Node:
     """An element: its name with the words of its class and id, and texts, ``(link text,)``, breaks and nodes in page order."""
 
-    __slots__ = ("tag", "name", "boilerplate", "kids")
+    __slots__ = ("tag", "name", "boilerplate", "by_word", "kids")
 
-    def __init__(self, tag: str, name: str, boilerplate: bool) -> None:
-        self.tag, self.name, self.boilerplate = tag, name, boilerplate
+    def __init__(self, tag: str, name: str, boilerplate: bool, by_word: bool = False) -> None:
+        self.tag, self.name, self.boilerplate, self.by_word = tag, name, boilerplate, by_word
         self.kids: list = []
 
 
-def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """The name of an element for alignment, and whether it is boilerplate by its tag or attributes."""
+def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """The name of an element for alignment, whether it is boilerplate by its tag or attributes, and whether words of its class or id alone say so."""
     boilerplate = tag in BOILERPLATE or tag == "header" and not in_article
     words: list[str] = []
+    by_word = False
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
@@ -69,13 +70,61 @@ def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
                 boilerplate |= value.lower() in _ROLES
             elif key in ("class", "id"):
                 words += [w.lower() for w in _NAME.findall(value)]
+        by_word = not boilerplate
         boilerplate |= not BOILERPLATE_WORDS.isdisjoint(words) or not in_article and not HEADER_WORDS.isdisjoint(words)
         if tag in ("html", "body", "article", "main"):  # page-wide flags such as "has-sidebar"
-            boilerplate = tag == "article" and not _ASIDE_ARTICLES.isdisjoint(words)
-    return ".".join([tag, *dict.fromkeys(words)]), boilerplate
+            boilerplate, by_word = tag == "article" and not _ASIDE_ARTICLES.isdisjoint(words), False
+    return ".".join([tag, *dict.fromkeys(words)]), boilerplate, boilerplate and by_word
+
+
+def _weigh(root: Node) -> dict[Node, tuple[int, bool, bool]]:
+    """For each element outside what is boilerplate by more than words: characters outside links, and whether it has an article or a main."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [k for k in node.kids if isinstance(k, Node) and (k.by_word or not k.boilerplate)]
+    out: dict[Node, tuple[int, bool, bool]] = {}
+    for node in reversed(order):
+        chars, article, main = sum(len(k.strip()) for k in node.kids if isinstance(k, str)), node.tag == "article", node.tag == "main"
+        for kid in node.kids:
+            if isinstance(kid, Node) and kid in out:
+                more = out[kid]
+                chars, article, main = chars + more[0], article or more[1], main or more[2]
+        out[node] = chars, article, main
+    return out
+
+
+def _clear_holders(root: Node) -> None:
+    """Take the mark from elements that words alone made boilerplate, where they hold the main text of the page.
+
+    They do when they hold a main element, or more than half of the text, or articles on a page with none outside such elements;
+    outer elements come first, so a list of related articles inside a cleared container stays marked.
+    """
+    weights = _weigh(root)
+    whole = weights[root][0]
+    level = [root]
+    while level:
+        marked, todo, clean = [], level, False
+        while todo:
+            node = todo.pop()
+            clean |= node.tag == "article"
+            for kid in node.kids:
+                if kid in weights if isinstance(kid, Node) else False:
+                    (marked if kid.boilerplate else todo).append(kid)
+        level = [n for n in marked if weights[n][2] or 2 * weights[n][0] > whole or weights[n][1] and not clean]
+        for node in level:
+            node.boilerplate = node.by_word = False
 
 
 def parse(page: str) -> Node:
+    """The tree of a page, without marks on what holds its main text."""
+    root = _tree(page)
+    _clear_holders(root)
+    return root
+
+
+def _tree(page: str) -> Node:
     """The tree of a page. Bad markup never fails: unknown ends are ignored, open elements end where others imply it."""
     root = Node("", "", False)
     stack = [root]
@@ -142,14 +191,14 @@ def parse(page: str) -> Node:
                 depth -= 1
             if found:
                 close(found)
-        name, boilerplate = _describe(tag, token[3], articles > 0)
+        name, boilerplate, by_word = _describe(tag, token[3], articles > 0)
         if block or boilerplate:
             if token[3].endswith("/") and not block:
                 continue
             if len(stack) >= DEEPEST:
                 stack[-1].kids.append(BREAK)
                 continue
-            node = Node(tag, name, boilerplate)
+            node = Node(tag, name, boilerplate, by_word)
             stack[-1].kids.append(node)
             stack.append(node)
             articles += tag == "article"
@@ -199,6 +248,7 @@ def outermost(root: Node, tag: str) -> list[Node]:
 def at_paths(root: Node, paths: list[list[str]]) -> list[Node]:
     """The elements of a page whose names from the top are one of ``paths``, in page order, none inside another."""
     wanted = {tuple(p) for p in paths}
+    ways = {p[:i] for p in wanted for i in range(1, len(p) + 1)}
     out: list[Node] = []
     todo: list[tuple[tuple, Node]] = [((), root)]
     while todo:
@@ -206,6 +256,8 @@ def at_paths(root: Node, paths: list[list[str]]) -> list[Node]:
         if path in wanted:
             out.append(node)
             continue
-        for kid in reversed([k for k in node.kids if isinstance(k, Node) and not k.boilerplate]):
-            todo.append(((*path, kid.name), kid))
+        for kid in reversed([k for k in node.kids if isinstance(k, Node)]):
+            if (*path, kid.name) in ways and (kid.by_word or not kid.boilerplate):  # a container on other pages is one here
+                kid.boilerplate = False
+                todo.append(((*path, kid.name), kid))
     return out

@@ -117,3 +117,13 @@ def test_templates_of_few_pages_keep_their_article():
     paths = main_paths(wrapper(*[common % i for i in range(60)], rare, both, by_main, plain_page))
     assert main_text(rare, paths) == "rare text" and main_text(both, paths) == "one\ntwo"
     assert main_text(by_main, paths) == "by main" and main_text(plain_page, paths) == ("plain " * 9).strip()
+
+
+def test_words_alone_do_not_remove_what_holds_the_article():
+    inner = "<article><p>the article</p><div class=share-buttons>Share</div></article>"
+    related = "<div class=related-posts><article>teaser</article></div>"
+    for mark in ("has-sidebar", "no-comments", "overflow-hidden", "main-with-nav"):
+        assert text(f"<body><div id=page class='{mark}'>{inner}{related}</div><div class=sidebar>Side</div></body>") == "the article"
+    assert text("<body><div class=no-sidebar><main><p>by main</p></main></div></body>") == "by main"
+    assert text("<body><div class='no-comments'><p>" + "plain " * 30 + "</p></div><div class=ad>Ad</div></body>") == ("plain " * 30).strip()
+    assert text(f"<body>{inner}{related}<div hidden><article>unseen</article></div></body>") == "the article"
