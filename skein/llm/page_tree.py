@@ -34,6 +34,7 @@ _IMPLIED = {
     "body": ({"head"}, set()),
 }
 _FENCES = frozenset("article main body table td th section".split())
+# Deeper elements add their content to the element at this depth, except what is boilerplate, an article or a main element.
 DEEPEST = 100
 
 _TOKEN = re.compile(
@@ -77,6 +78,14 @@ def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, b
     return ".".join([tag, *dict.fromkeys(words)]), boilerplate, boilerplate and by_word
 
 
+def _stands_alone(node: Node, stack: list[Node]) -> bool:
+    """Whether an element below ``DEEPEST`` is a node of the tree; at most one of each kind below another, so depth has a bound."""
+    deep = stack[DEEPEST:]
+    if node.boilerplate:
+        return not any(n.boilerplate and (node.by_word or not n.by_word) for n in deep)
+    return node.tag in ("article", "main") and not any(n.tag == node.tag for n in deep)
+
+
 def _weigh(root: Node) -> dict[Node, tuple[int, bool, bool]]:
     """For each element outside what is boilerplate by more than words: characters outside links, and whether it has an article or a main."""
     order, todo = [], [root]
@@ -139,6 +148,8 @@ def _tree(page: str) -> Node:
         nonlocal articles
         articles -= sum(n.tag == "article" for n in stack[depth:])
         del stack[depth:]
+        if depth >= DEEPEST:
+            stack[-1].kids.append(BREAK)
 
     while True:
         token = _TOKEN.search(page, at)
@@ -195,11 +206,12 @@ def _tree(page: str) -> Node:
         if block or boilerplate:
             if token[3].endswith("/") and not block:
                 continue
-            if len(stack) >= DEEPEST:
-                stack[-1].kids.append(BREAK)
-                continue
             node = Node(tag, name, boilerplate, by_word)
-            stack[-1].kids.append(node)
+            if len(stack) < DEEPEST or _stands_alone(node, stack):
+                stack[-1].kids.append(node)
+            else:  # an element of its own for end tags only
+                stack[-1].kids.append(BREAK)
+                node.kids = stack[-1].kids
             stack.append(node)
             articles += tag == "article"
 

@@ -127,3 +127,12 @@ def test_words_alone_do_not_remove_what_holds_the_article():
     assert text("<body><div class=no-sidebar><main><p>by main</p></main></div></body>") == "by main"
     assert text("<body><div class='no-comments'><p>" + "plain " * 30 + "</p></div><div class=ad>Ad</div></body>") == ("plain " * 30).strip()
     assert text(f"<body>{inner}{related}<div hidden><article>unseen</article></div></body>") == "the article"
+
+
+def test_deep_elements_keep_their_ends_and_boilerplate():
+    for depth in (50, 98, 99, 100, 101, 150, 3000):
+        deep = "<div>" * depth + "in<nav><div>menu</div></nav><div class=ad>Ad</div>side<form><p>form</p></form>" + "</div>" * depth
+        page = f"<body><div class=c><p>{'first ' * 40}</p>{deep}<p>{'last ' * 40}</p></div><div class=foot>foot</div></body>"
+        assert text(page).split("\n") == [("first " * 40).strip(), "in", "side", ("last " * 40).strip()]
+        page = "<body>" + "<div>" * depth + "out<article>a<p>b</p>c<nav>menu</nav>d</article>out" + "</div>" * depth + "<p>out</p></body>"
+        assert text(page).split("\n") == ["a", "b", "c", "d"]
