@@ -26,18 +26,20 @@ from skein.session import cut
 SALTS = 256
 _HOSTS_AT_ONCE = 20_000
 
-# An expression is a list: name, boilerplate, pages, repeated, starts over with its neighbours, characters, link characters, text or null
-# for a slot, children, characters outside links on pages without article or main.
+# An expression is a list: name, boilerplate, pages, repeated, starts over with its neighbours, characters, link characters, text (its hash above
+# 200 characters) or null for a slot, children, characters outside links on pages without article or main.
 NAME, BOILERPLATE, PAGES, REPEATED, GROUPED, CHARS, LINKS, TEXT, KIDS, PLAIN = range(10)
 
 
 def of_page(node: Node, plain: bool | None = None) -> list:
     """The expression of one page, from the block below ``node`` on; ``plain`` when the page has neither article nor main."""
+    from xxhash import xxh3_128_hexdigest
+
     plain = not (outermost(node, "article") or outermost(node, "main")) if plain is None else plain
     texts = [k for k in node.kids if isinstance(k, str)]
     links = [k[0] for k in node.kids if isinstance(k, tuple)]
     text = " ".join(" ".join([*texts, *links]).split())
-    own = [node.name, node.boilerplate, 1, False, False, len(text), sum(map(len, links)), text if len(text) <= 200 else None, [], (len(text) - sum(map(len, links))) * plain]
+    own = [node.name, node.boilerplate, 1, False, False, len(text), sum(map(len, links)), text if len(text) <= 200 else "\0" + xxh3_128_hexdigest(text), [], (len(text) - sum(map(len, links))) * plain]
     for kid in node.kids:
         if isinstance(kid, Node):
             _take(own[KIDS], of_page(kid, plain), 0)

@@ -136,3 +136,10 @@ def test_deep_elements_keep_their_ends_and_boilerplate():
         assert text(page).split("\n") == [("first " * 40).strip(), "in", "side", ("last " * 40).strip()]
         page = "<body>" + "<div>" * depth + "out<article>a<p>b</p>c<nav>menu</nav>d</article>out" + "</div>" * depth + "<p>out</p></body>"
         assert text(page).split("\n") == ["a", "b", "c", "d"]
+
+
+def test_long_text_that_is_the_same_on_all_pages_is_no_slot():
+    page = "<body><div class=legal>" + "terms and conditions " * 60 + "</div><div class=text>article number %d</div></body>"
+    assert expression(wrapper(page % 1, page % 2)) == "<body><div.legal>=</div><div.text>#</div></body>"
+    assert main_paths(wrapper(page % 1, page % 2)) == [["body", "div.text"]]
+    assert main_text(page % 1, [["body", "div.text"]]) == "article number 1"
