@@ -57,18 +57,22 @@ def _ranked_merges(tokenizer):
 class WordTable(dict):
     """Ids (little-endian unsigned 32-bit) of parts with a space before them.
 
-    When it holds ``limit`` parts it becomes the older generation and a new one begins, so parts that come often stay.
+    When it holds ``limit`` parts it becomes the older generation and a new one begins, so parts that come often stay. Texts that hold the name of
+    an added token, such as an end mark, go whole to the library, which gives that token's id; with ``names_as_text`` such names are ordinary text.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 350_000) -> None:
+    def __init__(self, vocabulary: str, limit: int = 350_000, names_as_text: bool = False) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.limit = limit
         self.older: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_file(vocabulary)
+        added = [] if names_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text here
+        self.tokenizer.encode_special_tokens = True  # parts hold no such name, joined parts must not make one
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.widths = np.array([len(name or "") for name in names])  # a character of a byte-level name is one byte
         self.merges = _ranked_merges(self.tokenizer)
@@ -110,8 +114,13 @@ class WordTable(dict):
         for start in range(0, len(texts), group):
             some = texts[start : start + group]
             parts = [None if _UNSAFE.search(t) else t.split(" ") for t in some]
+            named = {i for i, t in enumerate(some) if self.added.search(t)} if self.added else ()
+            for i in named:
+                some[i], parts[i] = "", None
             self.add(set().union(*[words[1:] for words in parts if words]))
             first = self.encode([t if words is None else words[0] for t, words in zip(some, parts, strict=True)])
+            for i in named:
+                first[i] = np.array(self.whole.encode(texts[start + i], add_special_tokens=False).ids, "<u4").tobytes()
             for head, words in zip(first, parts, strict=True):
                 out.append(head if words is None else head + b"".join(map(self.__getitem__, words[1:])))
         return out
@@ -124,7 +133,11 @@ def word_table(vocabulary: str) -> WordTable:
 
 
 def encode_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``: the ids of every whole text and then ``END_ID``, as little-endian unsigned 32-bit numbers in a binary."""
+    """``doc_id, ids``: the ids of every whole text and then ``END_ID``, as little-endian unsigned 32-bit numbers in a binary.
+
+    Ids are those of the library as it is loaded: the name of a special token in a text gives the id of that token. Null and empty texts have the end id only; rows
+    that repeat an id are encoded each; an empty table gives no rows; other columns are ignored.
+    """
     out = schema(docs, id_col, ids="binary")
     end = np.array([END_ID], "<u4").tobytes()
 

@@ -86,6 +86,15 @@ class ChunkTable:
             return [chunk[1:] for chunk in _CHUNK.findall(" " + text)]
         return text.split(" ")
 
+    def encode(self, texts: list[str], group: int = 512) -> list[bytes]:
+        """The ids of every text."""
+        ids: list[bytes] = []
+        for start in range(0, len(texts), group):
+            some = [self.words(t) for t in texts[start : start + group]]
+            self.add(set().union(*some))
+            ids += [b"".join(map(self.ids.__getitem__, words)) for words in some]
+        return ids
+
     def encode_and_decode(self, texts: list[str], group: int = 512) -> tuple[list[bytes], list[str]]:
         """The ids of every text, and the text that those ids decode to."""
         ids: list[bytes] = []

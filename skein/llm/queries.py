@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from skein.llm.encoding import encode_tokens
 from skein.llm.exact_dedup import exact_duplicates
+from skein.llm.hard_negatives import hard_negatives
 from skein.llm.html_wrappers import extract_main_text
 from skein.llm.line_dedup import without_repeated_chunks
+from skein.llm.one_bit_search import nearest_rows
 from skein.llm.packing import best_fit, cut_lengths
 from skein.llm.piece_codec import encode_pieces
 from skein.llm.quality_rules import quality_rules
 from skein.llm.simhash import near_duplicates
 from skein.llm.substring_dedup import substring_duplicates
+from skein.llm.token_alignment import alignment_counts
 from skein.llm.token_counts import token_counts
 from skein.llm.token_files import read_tokens, write_tokens
 from skein.session import cut, scratch_path
@@ -100,6 +103,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("text_key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), tokenizer_file(PIECES))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -111,8 +128,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_one_bit_search": op12_one_bit_search,
+    "op13_token_alignment": op13_token_alignment,
 }
 
+# Vectors that take part, as lists of doubles.
+_VECTORS = """
+        e AS (
+            SELECT vec_id, label, [x::DOUBLE for x in embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        )"""
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
         WITH d AS (
@@ -176,4 +203,31 @@ ORACLES: dict[str, str] = {
             NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT rejected AS kept
         FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
     """,
+    "op11_hard_negatives": f"""
+        WITH {_VECTORS.strip()}, c AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x) for x in v] AS v
+            FROM e WHERE label IS NOT NULL
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+            FROM c AS a JOIN c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5
+    """,
+    "op12_one_bit_search": f"""
+        WITH {_VECTORS.strip()}, c AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS length FROM e WHERE list_inner_product(v, v) > 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) / (q.length * c.length) AS score
+            FROM c AS q JOIN c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+        QUALIFY rank <= 5
+    """,
 }
