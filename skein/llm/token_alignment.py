@@ -29,11 +29,11 @@ from skein.llm.encoding import WordTable
 from skein.llm.piece_codec import MARK, ChunkTable
 from skein.session import cut
 
-# Bytes of text of a block, and of the texts that are aligned together within one.
-BLOCK_BYTES = 8 * 1024 * 1024
-ALIGNED_BYTES = 512 * 1024
-# Distinct words that a worker keeps per tokenizer.
-WORDS_KEPT = 350_000
+# Characters of the texts of a block, and of those that are aligned together within one.
+BLOCK_BYTES = 1024 * 1024
+ALIGNED_BYTES = 256 * 1024
+# Distinct words that a worker keeps per tokenizer, in the newer of two generations.
+WORDS_KEPT = 150_000
 # Ends of a stretch that are compared one by one before slices are.
 SINGLE_ENDS = 32
 
@@ -244,7 +244,7 @@ def _block(number: int, ids: pa.Array, texts: list[str], known: Tokens) -> list[
     place[order] = np.arange(len(order))
     links, times, distinct = place[codes], np.bincount(codes, minlength=len(order))[order], distinct[order]
     n_a, n_b, n_groups, n_links = np.concatenate(counts, axis=1).astype("<i8")
-    columns = [n_a, n_b, n_groups, n_links, links.astype("<u4"), distinct.astype("<i8"), times.astype("<i8")]
+    columns = [n_a, n_b, n_groups, n_links, links.astype(_place_type(len(distinct))), distinct.astype("<i8"), times.astype("<i8")]
     whole = pa.array([0, len(ids)], pa.int32())
     return [
         pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, pa.array(written, pa.string())),
@@ -252,6 +252,11 @@ def _block(number: int, ids: pa.Array, texts: list[str], known: Tokens) -> list[
     ]
 
 
+def _place_type(n: int) -> str:
+    """Places below ``n`` in as few bytes as numpy has."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def _blocks(vocabulary: str, model: str, out: T.StructType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -311,8 +316,8 @@ def _documents(out: T.StructType):
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
                 n_a, n_b, n_groups, n_links = (np.frombuffer(row[x].as_py(), "<i8") for x in ("n_a", "n_b", "n_groups", "n_links"))
-                links = np.frombuffer(row["links"].as_py(), "<u4")
                 counts = np.frombuffer(row["counts"].as_py() or b"", "<i8")
+                links = np.frombuffer(row["links"].as_py(), _place_type(len(counts)))
                 bests = np.frombuffer(row["bests"].as_py() or b"", bool)
                 ends = np.cumsum(n_links)
                 sums = [np.concatenate([[0], np.cumsum(x[links], dtype=np.int64)]) for x in (bests, counts)]
