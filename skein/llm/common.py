@@ -27,10 +27,19 @@ def text_key(text_col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A column name like ``name`` that is none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text key are in ``gone(doc_id, text_key)``."""
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text_key(text_col) == F.col("_gone_key"))
+    own, key = fresh(docs.columns, "_gone_id"), fresh(docs.columns, "_gone_key")
+    gone = gone.select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (text_key(text_col) == F.col(key))
     return docs.join(gone, same, "left_anti")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import id_and_text, id_type, text_key
+from skein.llm.common import fresh, id_and_text, id_type, text_key
 from skein.llm.exact_dedup import equal_texts
 from skein.llm.hashing import mix, rolling
 
@@ -128,12 +128,13 @@ def without_repeated_chunks(
     Every row and column of ``docs`` stays; columns of those two names are replaced. A text that loses nothing stays as it is, null
     included; one that loses all is empty. An empty table gives no rows.
     """
+    own, key, gone = (fresh(docs.columns, name) for name in ("_doc_id", "_text_key", "_removed"))
     removed = repeated_chunks(docs, id_col, text_col, reach, spacing).select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.col("removed").alias("_removed")
+        F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("removed").alias(gone)
     )
     kept = docs.drop(*{"n_lines", "n_removed"} - {id_col, text_col})
     kept = kept.withColumn(text_col, F.col(text_col).cast("string"))
-    same = F.col(id_col).eqNullSafe(F.col("_doc_id")) & (text_key(text_col) == F.col("_text_key"))
-    marked = kept.join(removed, same, "left").select(*[F.col(f"`{c}`") for c in kept.columns], "_removed")
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (text_key(text_col) == F.col(key))
+    marked = kept.join(removed, same, "left").select(*[F.col(f"`{c}`") for c in kept.columns], gone)
     out = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return marked.mapInArrow(_without(reach, spacing, kept.columns.index(text_col), out), out)

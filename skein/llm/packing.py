@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm.common import fresh
 from skein.session import cut
 
 # Rows that one window group ranks, about.
@@ -102,14 +103,16 @@ def cut_lengths(total: str, size: int):
 
 
 def best_fit(pieces: DataFrame, size: int, key: tuple[str, ...] = ("doc_id", "piece"), length: str = "length") -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset`` (longs); every length must be 1 to ``size``.
+    """``pieces`` with ``sequence_id`` and ``offset`` (longs), which replace columns of these names; every length must be 1 to ``size``.
 
     Rows with one key each get a place of their own; which of two pieces of one length goes where follows the key. Null and zero lengths
     take no room: both columns are null there. Longer pieces are an error. An empty table gives no rows. ``pieces`` is read more
     than once, so it should be a written table.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop(*{"sequence_id", "offset"} - {*key, length})
     kept = pieces.columns
+    salted_by, place_in, n_before = (fresh(kept, name) for name in ("_salt", "_rank", "_before"))
     rows = pieces.filter(F.col(length) > 0)
     lengths = rows.groupBy(F.col(length).alias("size")).count().collect()  # at most ``size`` rows
     if any(r["size"] > size for r in lengths):
@@ -123,13 +126,13 @@ def best_fit(pieces: DataFrame, size: int, key: tuple[str, ...] = ("doc_id", "pi
 
     salts = int(max(16, counts.sum() // ROWS_PER_GROUP))
     salt = F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
-    salted = rows.withColumn("_salt", salt)
-    sizes = salted.groupBy(length, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n"), "ranks")
-    rank = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*key)) - 1
-    ranked = salted.withColumn("_rank", rank).join(sizes, [length, "_salt"])
-    ranked = ranked.select(*kept, (F.col("_before") + F.col("_rank")).alias("_rank"))
+    salted = rows.withColumn(salted_by, salt)
+    sizes = salted.groupBy(length, salted_by).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(length).orderBy(salted_by).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut(sizes.select(length, salted_by, F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias(n_before)), "ranks")
+    rank = F.row_number().over(Window.partitionBy(length, salted_by).orderBy(*key)) - 1
+    ranked = salted.withColumn(place_in, rank).join(sizes, [length, salted_by])
+    ranked = ranked.select(*kept, (F.col(n_before) + F.col(place_in)).alias(place_in))
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = kept.index(length)
 

@@ -72,7 +72,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Pieces of the encoded ``docs`` in their sequences, with the checksum of each piece's ids."""
+    """Pieces of the encoded ``docs`` in their sequences, with the checksum of each piece's ids.
+
+    Null and empty texts are a piece of one id, the end id; rows that repeat an id are packed each; an empty table gives no rows; other columns are ignored.
+    """
     tokens = encode_tokens(docs, tokenizer_file(BYTE_BPE))
     tokens = tokens.withColumn("n", (F.octet_length("ids") / 4).cast("long"))
     pieces = tokens.select("doc_id", "ids", F.inline(cut_lengths("n", size)))

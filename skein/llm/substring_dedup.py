@@ -6,8 +6,8 @@ and a document has about one name for twenty words. Documents with equal word se
 1. each partition counts the names of its documents in sketches, one per range of names; the sketches of a range are
    merged, and a name is estimated by its least counter, which never falls below its true count. The number of
    ranges follows the number of names, so a sketch stays as good and as small whatever the input;
-2. only windows with a name estimated repeated are grouped exactly, by 128 bits over their words, and each is
-   compared with the smallest document that has it.
+2. only windows with a name estimated repeated are grouped exactly, by 128 bits over their words: first among those of a task,
+   then the first of every task. A window is removed where a smaller document has it.
 
 No repeated window is lost: its name occurs in two documents at least.
 """
@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,10 @@ SKETCH_ROWS = 2
 SKETCH_WIDTH = 1 << 20
 NAMES_PER_SKETCH = 200_000
 _NAMES_AT_ONCE = 2_000_000
+# Windows that a task compares before it gives them out, and rows of one batch.
+_WINDOWS_AT_ONCE = 1_000_000
+_ROWS_AT_ONCE = 100_000
+
 
 def _sliding_least(values: np.ndarray, n: int) -> np.ndarray:
     """Least of every run of ``n`` neighbours."""
@@ -157,24 +162,78 @@ def _ranges(shards: int):
 
 
 def _candidates(window: int, gram: int, out: T.StructType):
-    """Suspects ``(doc_id, text_key, text, names)`` to one row per window with one of the names."""
+    """Suspects ``(doc_id, text_key, text, names)`` to rows for the windows with one of the names.
+
+    A window that a smaller id of the same task has is ``later`` at once. The others go on to be grouped with those of other tasks, so a window travels once per task,
+    not once per document.
+    """
+
+    def flush(held: list[tuple], ids: list[pa.Array], keys: list[pa.Array], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+        low, high, doc, start = (np.concatenate(x) for x in zip(*held))
+        docs, text_keys = pa.concat_arrays(ids), pa.concat_arrays(keys)
+        # equal ids have equal ranks, whatever their type is
+        rank = pc.rank(docs, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)[doc]
+        order = np.lexsort((rank, high, low))
+        low, high, doc, start, rank = (x[order] for x in (low, high, doc, start, rank))
+        groups = runs(low, high)
+        later = rank > np.repeat(rank[groups[:-1]], np.diff(groups))
+        for first in range(0, len(low), _ROWS_AT_ONCE):
+            at = slice(first, first + _ROWS_AT_ONCE)
+            own = pa.array(doc[at])
+            columns = [pa.array(low[at]), pa.array(high[at]), docs.take(own), text_keys.take(own), pa.array(start[at]), pa.array(later[at])]
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(out)
+        held, ids, keys, size, before = [], [], [], 0, 0
         for batch in batches:
+            ids.append(batch.column(0))
+            keys.append(batch.column(1))
             texts = batch.column(2).cast(pa.binary())
             for i in range(batch.num_rows):
-                words = texts[i].as_py().split()
-                low, high = _word_hashes(words)
+                low, high = _word_hashes(texts[i].as_py().split())
                 wanted = np.array(batch.column(3)[i].as_py(), np.int64).view(np.uint64)
                 at = np.flatnonzero(np.isin(window_names(low, window, gram), wanted))
-                keys = [rolling(h, window, b)[at].view(np.int64) for h, b in zip((low, high), BASES)]
-                ids = batch.column(0).take(pa.array(np.full(len(at), i)))
-                text_keys = batch.column(1).take(pa.array(np.full(len(at), i)))
-                columns = [pa.array(keys[0]), pa.array(keys[1]), ids, text_keys, pa.array(at, pa.int32())]
-                yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
+                found = [rolling(h, window, b)[at].view(np.int64) for h, b in zip((low, high), BASES)]
+                held.append((*found, np.full(len(at), before + i, np.int32), at.astype(np.int32)))
+                size += len(at)
+            before += batch.num_rows
+            if size >= _WINDOWS_AT_ONCE:
+                yield from flush(held, ids, keys, target)
+                held, ids, keys, size, before = [], [], [], 0, 0
+        if held:
+            yield from flush(held, ids, keys, target)
+
+    return run
+
+
+def _later_windows(out: T.StructType):
+    """Windows ``(low, high, doc_id, text_key, start)``, sorted by the first three, to ``(doc_id, text_key, start)`` of those that a smaller id has."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(out)
+        last, owner = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low, high = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            groups = runs(low, high)
+            docs = batch.column(2)
+            firsts = docs.take(pa.array(np.repeat(groups[:-1], np.diff(groups))))
+            other = pc.not_equal(docs, firsts)
+            if last == (low[0], high[0]):
+                # the window of the batch before goes on
+                size = int(groups[1])
+                other = pa.concat_arrays([pc.not_equal(docs[:size], owner), other[size:]])
+            if last != (low[-1], high[-1]) or len(groups) > 2:
+                owner = docs[int(groups[-2])]
+            last = (low[-1], high[-1])
+            found = pa.record_batch(batch.columns[2:5], schema=target).filter(other)
+            yield found
 
     return run
 
@@ -237,11 +296,12 @@ def substring_duplicates(
     marked = own.join(repeated, "name").groupBy("doc_id", "text_key").agg(F.collect_set("name").alias("names"))
     suspects = cut(texts.join(marked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "names"), "suspects")
 
-    found = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), *key, T.StructField("start", T.IntegerType())])
+    place = [*key, T.StructField("start", T.IntegerType())]
+    found = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), *place, T.StructField("later", T.BooleanType())])
     windows = cut(suspects.mapInArrow(_candidates(window, gram, found), found), "windows")
-    firsts = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = cut(firsts.filter("first < last").drop("last"), "firsts")
-    later = windows.join(firsts, ["low", "high"]).filter("doc_id > first")
+    first = windows.filter(~F.col("later")).drop("later").repartition("low", "high").sortWithinPartitions("low", "high", "doc_id")
+    later = windows.filter("later").select("doc_id", "text_key", "start")
+    later = later.unionByName(first.mapInArrow(_later_windows(T.StructType(place)), T.StructType(place)))
     starts = later.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
 
     left = T.StructType([*key, T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])

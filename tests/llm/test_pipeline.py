@@ -85,6 +85,24 @@ def test_odd_rows_pass_through(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, at, SF).count() == at.count()
 
 
+def test_clashing_columns_and_no_sizes(spark):
+    """Columns named like those the stages work with, and a table without ``n_chars``."""
+    names = ["_gone_id", "_gone_key", "_removed", "_doc_id", "_text_key", "_id", "_key", "_kept", "kept_text", "removed", "text_key", "component_id", "fingerprint", "kept", "starts"]
+    passage = " ".join(f"p{i}" for i in range(80))
+    texts = [f"one {passage} two", f"three {passage} four", "line of words\n" * 30, "five " * 25, None, " ".join(f"q{i}" for i in range(60))]
+    rows = [(i, t, "en", "s", *["clash"] * len(names)) for i, t in enumerate(texts)]
+    columns = ", ".join(["doc_id long, text string, lang string, source string", *[f"{n} string" for n in names]])
+    at = bare = spark.createDataFrame(rows, columns)
+    plain = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at, plain = stage(spark, at, SF), stage(spark, plain, SF)
+        assert at.dtypes == bare.dtypes and plain.columns == ["doc_id", "text", "lang", "source"]
+        at, plain = (spark.createDataFrame(x.collect(), x.schema) for x in (at, plain))
+        assert sorted((r.doc_id, r.text) for r in at.collect()) == sorted((r.doc_id, r.text) for r in plain.collect())
+        assert all(set(r[4:]) == {"clash"} for r in at.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, at, SF).count() == at.count()
+
+
 def test_no_documents(spark):
     at = empty_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:

@@ -25,9 +25,7 @@ PIECES = tokenizer_file("piece_bpe_32k.model")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 @pytest.fixture(scope="module")
@@ -244,3 +242,15 @@ def test_token_counts(spark):
     assert token_counts(empty_documents(spark), PIECES).count() == 0
     want = [(r.doc_id, len(words(r.text)), count(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert plain(QUERIES["op1_token_counts"](spark, SF)) == sorted(want, key=repr)
+
+
+def test_best_fit_replaces_and_keeps_columns(spark):
+    rows = [(i, 0, 1 + i % 7, "clash") for i in range(50)]
+    for name in ("sequence_id", "offset", "_rank", "_before", "_salt", "_n"):
+        pieces = spark.createDataFrame(rows, f"doc_id long, piece int, length long, {name} string")
+        placed = best_fit(pieces, 16)
+        assert placed.columns == [c for c in pieces.columns if c not in ("sequence_id", "offset")] + ["sequence_id", "offset"]
+        got = placed.collect()
+        assert len(got) == 50 and all(r.sequence_id is not None for r in got)
+        if name.startswith("_"):
+            assert {r[3] for r in got} == {"clash"}
