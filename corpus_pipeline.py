@@ -9,60 +9,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import text_key, without_rows
+from skein.llm.common import fresh, text_key, without_rows
 from skein.llm.line_dedup import without_repeated_chunks
 from skein.llm.quality_rules import quality_rules
 from skein.llm.queries import packed_documents
-from skein.llm.shingle_dedup import similar_documents
+from skein.llm.simhash import near_duplicates
 from skein.llm.substring_dedup import substring_duplicates
 from skein.session import cut
 
-# Words of a shingle in the near-duplicate stage, and the Jaccard similarity from which documents are linked.
-SHINGLE_WORDS = 5
-LEAST_SIMILARITY = 0.8
+# Words of a shingle in the near-duplicate stage; fingerprints link at three or fewer differing bits.
+SHINGLE_WORDS = 3
+
+
+def _retexted(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with another text, and its length in ``n_chars`` where there is such a column."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return docs.withColumns(new)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without the documents that the quality rules reject.
+
+    Null and empty texts have too few words and go. Rows that repeat id and text share a verdict; one with a null id is judged like any other. An empty table gives an
+    empty one; all columns stay.
+    """
     judged = quality_rules(docs)
     return without_rows(docs, judged.filter(~F.col("kept")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = without_repeated_chunks(docs)
-    left = left.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return left.select(docs.columns)
+    """``docs`` without the chunks of lines that a smaller id has, or that stand further up in the same text.
+
+    Every row and column stays; a null text stays null, one that loses all is empty. Rows that repeat id and text are one document. An empty table gives an empty one.
+    """
+    left = without_repeated_chunks(docs).select(F.col("text").alias("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return _retexted(left, F.col("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = similar_documents(docs, SHINGLE_WORDS, LEAST_SIMILARITY)
+    """Of every group of near duplicates the document with the smallest id.
+
+    Texts without words, null or empty, are one group. Null ids go when their group has another id; else they stay. Rows that repeat the smallest id all stay. An
+    empty table gives an empty one; all columns stay.
+    """
+    found = near_duplicates(docs, SHINGLE_WORDS)
     return without_rows(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without the windows of words that a smaller id has.
+
+    A text that loses nothing stays as it is, null included; another is its words left, joined by one space. Null ids lose nothing. Rows that repeat an id are one
+    document. An empty table gives an empty one; all rows and columns stay.
+    """
+    own, key, kept = (fresh(docs.columns, name) for name in ("_id", "_key", "_kept"))
     found = substring_duplicates(docs).filter(F.isnotnull("kept_text"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept_text").dropDuplicates(["_id", "_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    text = F.coalesce("kept_text", "text")
-    size = F.char_length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType)
-    return docs.join(found, same, "left").withColumns({"text": text, "n_chars": size}).select(docs.columns)
+    found = found.select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("kept_text").alias(kept)).dropDuplicates([own, key])
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (text_key() == F.col(key))
+    return _retexted(docs.join(found, same, "left"), F.coalesce(F.col(kept), F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all ``docs`` in their sequences; a null or empty text is its end id. Each row is a document; an empty table gives no rows."""
     return packed_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
-    ("shingle_near_dedup", near_duplicate_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
     ("substring_dedup", substring_stage),
     ("best_fit_packing", packing_stage),
 ]
 
-# MinHash, content-defined borders and byte-level BPE are beyond SQL; tests/llm compares run() with brute force.
+# Fingerprints, content-defined borders and byte-level BPE are beyond SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
