@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.session import cut, fits_broadcast
+from skein.functions.membership import may_be_in, membership
+from skein.session import cut, fits_broadcast, semi_join_by_size
 
 EDGE_KEY = ["from_qualified", "to_qualified", "relation"]
 
+# Bits of the filter over all names (4 MB): with two million names it lets one of twenty strangers through.
+FILTER_BITS = 1 << 25
+
 
 def changed_files(scan: DataFrame, files: DataFrame) -> DataFrame:
     """Scanned rows whose path is new or whose hash differs from the stored one.
@@ -40,6 +47,26 @@ def name_conflicts(symbols: DataFrame) -> DataFrame:
     return per_file.groupBy("qualified_name").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def owners(symbols: DataFrame) -> DataFrame:
+    """Who owns each qualified name: ``qualified_name, file_path``."""
+    return symbols.select("qualified_name", "file_path")
+
+
+def lost_claims(claims: DataFrame, on_conflict: str = "error") -> DataFrame | None:
+    """Claims ``qualified_name, file_path`` that lose their name to the smallest path with it; null when there are none.
+
+    ``error`` fails instead, as in ``settle_conflicts``.
+    """
+    if on_conflict == "error":
+        settle_conflicts(claims)
+        return None
+    if on_conflict != "first":
+        raise ValueError(f"unknown on_conflict {on_conflict!r}")
+    owner = claims.groupBy("qualified_name").agg(F.min("file_path").alias("_owner"))
+    lost = cut(claims.join(owner, "qualified_name").filter("file_path <> _owner").select("qualified_name", "file_path").distinct(), "lost-claims")
+    return None if lost.isEmpty() else lost
+
+
 def settle_conflicts(symbols: DataFrame, on_conflict: str = "error") -> DataFrame:
     """Make ``qualified_name`` unique in the corpus.
 
@@ -94,12 +121,16 @@ def cascade_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     )
 
 
-def resolve_edges(raw_edges: DataFrame, symbols: DataFrame, resolve: str = "complete") -> DataFrame:
+def resolve_edges(raw_edges: DataFrame, symbols: DataFrame, resolve: str = "complete", bits: int = FILTER_BITS) -> DataFrame:
     """Raw edges whose two names both are symbols, without duplicates.
 
     ``complete`` looks at all symbols. ``as_indexed`` lets a file see only symbols of files that
     come no later in path order, as when files are stored one after the other.
+
+    Most callees are no symbols (``len``, ``print``): a bitmap of ``bits`` over the names stops them in the stage that reads the statements, before any shuffle.
     """
+    members = cut(membership(symbols.select("qualified_name"), "qualified_name", bits), "name-bits")
+    raw_edges = may_be_in(raw_edges, "to_qualified", members, bits)
     # the callee name rarely exists, so that join goes first and leaves little for the second one
     if resolve == "complete":
         raw = raw_edges.select(*EDGE_KEY).distinct()
@@ -117,56 +148,58 @@ def resolve_edges(raw_edges: DataFrame, symbols: DataFrame, resolve: str = "comp
     return found.select(*EDGE_KEY).distinct()
 
 
-def update_edges_as_indexed(
-    edges: DataFrame, old_symbols: DataFrame, symbols: DataFrame, changed: DataFrame, new_raw: DataFrame
-) -> DataFrame:
-    """Edges after an update in ``as_indexed`` mode.
+def _edge_keys(*parts: DataFrame) -> DataFrame:
+    """The distinct keys (``to_qualified``) of all rows of an edge table that a change may remove or add."""
+    keys = reduce(DataFrame.union, [part.select(F.col(part.columns[0]).alias("key")) for part in parts])
+    return cut(keys.distinct(), "edge-keys")
+
+
+def _into(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Where the edges that start at one of ``names(qualified_name)`` lead."""
+    sources = names.select(F.col("qualified_name").alias("from_qualified"))
+    return semi_join_by_size(edges.select("from_qualified", "to_qualified"), sources, ["from_qualified"]).select("to_qualified")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.col("from_qualified").alias("qualified_name")).union(edges.select("to_qualified"))
+    return cut(ends.distinct(), "asked-names")
 
-    Every edge that touches an old symbol of a changed file is gone, also one from an unchanged file.
-    A changed file sees the symbols of unchanged files, and of changed files no later in path order.
+
+def edges_again(
+    edges: DataFrame, raw_edges: DataFrame, old_raw: DataFrame, new_raw: DataFrame, touched: DataFrame, known: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The change of the edges in ``complete`` mode: equal to resolving everything again, at the cost of the change.
+
+    Only edges that touch a name of a changed file (``touched``), or that a changed file stated (``old_raw``) or states (``new_raw``), are worked out anew from
+    ``raw_edges``, all statements after the change. ``known`` looks names up. Answers the keys of the change, and what it makes of old edges.
     """
-    paths = changed.select("file_path").distinct()
-    removed = old_symbols.join(paths, "file_path", "left_semi")
-    marked = symbols.join(paths.withColumn("_changed", F.lit(True)), "file_path", "left")
-    visible = marked.withColumn("visible_from", F.when(F.col("_changed"), F.col("file_path")).otherwise(F.lit("")))
-    return cascade_edges(edges, removed).unionByName(resolve_edges(new_raw, visible, "as_indexed")).distinct()
-
-
-def update_edges_complete(
-    edges: DataFrame,
-    old_symbols: DataFrame,
-    symbols: DataFrame,
-    old_raw: DataFrame,
-    raw_edges: DataFrame,
-    changed: DataFrame,
-) -> DataFrame:
-    """Edges after an update in ``complete`` mode: equal to resolving everything again, at the cost of the change.
-
-    Only edges that touch a name of a changed file, or that a changed file states or stated, are worked out anew.
+    stated = cut(old_raw.select(*EDGE_KEY).union(new_raw.select(*EDGE_KEY)).distinct(), "touched-edges")
+    mark = F.lit(True)
+    at_target = touched.select(F.col("qualified_name").alias("to_qualified"), mark.alias("_to"))
+    at_source = touched.select(F.col("qualified_name").alias("from_qualified"), mark.alias("_from"))
+    marked = raw_edges.select(*EDGE_KEY).join(at_target, "to_qualified", "left").join(at_source, "from_qualified", "left")
+    marked = marked.join(stated.withColumn("_stated", mark), EDGE_KEY, "left")
+    again = cut(marked.filter("_to OR _from OR _stated").select(*EDGE_KEY).distinct(), "edges-again")
+    names = cut(known(_ends(again)).select("qualified_name").distinct(), "known-names")
+    added = again.join(names, again.to_qualified == names.qualified_name, "left_semi")
+    added = cut(added.join(names, added.from_qualified == names.qualified_name, "left_semi"), "added-edges")
+    keys = _edge_keys(touched, stated.select("to_qualified"), _into(edges, touched), added.select("to_qualified"))
+    return keys, lambda old: cascade_edges(old, touched).join(stated, EDGE_KEY, "left_anti").select(*EDGE_KEY).unionByName(added)
+
+
+def edges_again_in_order(
+    edges: DataFrame, new_raw: DataFrame, removed: DataFrame, changed: DataFrame, known: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The change of the edges in ``as_indexed`` mode.
+
+    Every edge that touches a name in ``removed`` (an old symbol of a changed file) is gone, also one from an unchanged file. A changed file sees the symbols of
+    unchanged files, and of changed files no later in path order. Arguments and answer are otherwise those of ``edges_again``.
     """
-    paths = changed.select("file_path").distinct()
-    names = (
-        old_symbols.join(paths, "file_path", "left_semi")
-        .select("qualified_name")
-        .union(symbols.join(paths, "file_path", "left_semi").select("qualified_name"))
-        .distinct()
-    )
-    names = cut(names, "touched-names")
-    stated = cut(
-        old_raw.join(paths, "file_path", "left_semi")
-        .select(*EDGE_KEY)
-        .union(raw_edges.join(paths, "file_path", "left_semi").select(*EDGE_KEY))
-        .distinct(),
-        "touched-edges",
-    )
-    kept = cascade_edges(edges, names).join(stated, EDGE_KEY, "left_anti")
-    raw = raw_edges.select(*EDGE_KEY)
-    again = (
-        raw.join(names, raw.to_qualified == names.qualified_name, "left_semi")
-        .union(raw.join(names, raw.from_qualified == names.qualified_name, "left_semi"))
-        .union(raw.join(stated, EDGE_KEY, "left_semi"))
-    )
-    return kept.unionByName(resolve_edges(again, symbols)).distinct()
+    names = known(_ends(new_raw)).join(changed.withColumn("_changed", F.lit(True)), "file_path", "left")
+    visible = names.withColumn("visible_from", F.when(F.col("_changed"), F.col("file_path")).otherwise(F.lit("")))
+    added = cut(resolve_edges(new_raw, visible, "as_indexed"), "added-edges")
+    keys = _edge_keys(removed, _into(edges, removed), added.select("to_qualified"))
+    return keys, lambda old: cascade_edges(old, removed).select(*EDGE_KEY).unionByName(added).distinct()
 
 
 def run_summary(scanned: DataFrame, handled: DataFrame) -> DataFrame:

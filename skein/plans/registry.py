@@ -26,7 +26,7 @@ from skein.session import cut, scratch_path
 from skein.sources.files import dispatch, drop_excluded, from_table, prune_walk, restrict_to, with_hash, with_text
 from skein.sources.lines import numbered_lines
 from skein.streaming.feed import apply_versions, latest_versions, run_feed
-from skein.sources.tables import read_table
+from skein.sources.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 

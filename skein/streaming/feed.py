@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.indexing import empty_index, load_index, update_index
 from skein.session import cut
-from skein.sources.tables import current_version, pointers, publish, read_table
+from skein.sources.store import BUCKETS, Change, current_version, pointers, publish, publish_changes
 
 
 def latest_versions(changes: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -30,12 +30,12 @@ def _already_done(spark, root: str, feed: str, batch_id: int) -> bool:
     return not pointers(spark, root).filter(same).isEmpty()
 
 
-def apply_versions(root: str, order: Sequence[str], feed: str | None = None) -> Callable[[DataFrame, int], None]:
+def apply_versions(root: str, order: Sequence[str], feed: str | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: merge a batch of ``file_path, content, <order>`` into the ``versions`` table.
 
     The order columns stay in the table, so a batch that arrives late does not undo a newer version.
     A replayed batch is known by its feed and id. Batch ids start anew with every checkpoint, so a feed is the
-    streaming query of one checkpoint unless it is named.
+    streaming query of one checkpoint unless it is named. Only buckets of paths in the batch are read and written.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -43,9 +43,13 @@ def apply_versions(root: str, order: Sequence[str], feed: str | None = None) ->
         name = _feed_of(batch, feed)
         if _already_done(spark, root, name, batch_id):
             return
-        if current_version(spark, root) is not None:
-            batch = read_table(spark, root, "versions").unionByName(batch)
-        publish(root, {"versions": latest_versions(batch, order)}, source_batch=batch_id, feed=name)
+        base = current_version(spark, root)
+        if base is None:
+            publish(root, {"versions": latest_versions(batch, order)}, source_batch=batch_id, feed=name, buckets=buckets)
+            return
+        newest = cut(latest_versions(batch, order), "feed")
+        change = Change(newest.select(F.col("file_path").alias("key")), lambda old: latest_versions(old.unionByName(newest), order))
+        publish_changes(spark, root, base, {"versions": change}, source_batch=batch_id, feed=name)
 
     return merge
 

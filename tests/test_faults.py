@@ -17,7 +17,7 @@ from skein.operators.context import line_context
 from skein.operators.extract import PYTHON, Extractor, extract, python_batches, symbols_of
 from skein.plans.indexing import index_corpus
 from skein.sources import files
-from skein.sources.tables import pointers, read_table
+from skein.sources.store import pointers, read_table
 from skein.streaming.feed import apply_versions, run_feed
 
 

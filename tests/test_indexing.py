@@ -9,7 +9,7 @@ from skein.operators.plugins import WEB, Plugin
 from skein.plans.indexing import TABLES, empty_index, index_corpus, load_index, update_index, update_summary
 from skein.schemas import FILES, SYMBOLS
 from skein.sources.files import drop_excluded, from_table, prune_walk, restrict_to, scan_listed, scan_tree, with_hash, with_text
-from skein.sources.tables import current_version, publish, read_table
+from skein.sources.store import current_version, publish, read_table
 from skein.streaming.feed import apply_to_index, run_feed
 
 MODELS = '''import os
@@ -221,12 +221,16 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert current_version(spark, root) is None
     with pytest.raises(FileNotFoundError):
         read_table(spark, root, "files")
-    good = spark.range(3)
-    assert publish(root, {"files": good}) == 1
+
+    def files_of(n):
+        return spark.range(n).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_path"))
+
+    assert publish(root, {"files": files_of(3)}) == 1
+    broken = files_of(2).select("file_path", F.raise_error(F.lit("stop")).cast("string").alias("name"), F.lit("q").alias("qualified_name"))
     with pytest.raises(Exception):
-        publish(root, {"files": spark.range(5), "symbols": good.select(F.raise_error(F.lit("stop")).alias("name"), F.lit("q").alias("qualified_name"))})
+        publish(root, {"files": files_of(5), "symbols": broken})
     assert current_version(spark, root) == 1 and read_table(spark, root, "files").count() == 3
-    assert publish(root, {"files": spark.range(7)}) == 2  # the half-written version is overwritten
+    assert publish(root, {"files": files_of(7)}) == 2
     assert read_table(spark, root, "files").count() == 7
 
 
