@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions.membership import bits_for, may_be_in, membership
 from skein.llm.common import id_and_text, id_type, runs, text_key
 from skein.llm.hashing import BASES, mix, rolling
 from skein.session import cut
@@ -266,6 +267,12 @@ def _without(window: int, out: T.StructType):
     return run
 
 
+def _texts_of(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """Texts that may belong to ``some`` rows: the others are dropped where they are read, before a join moves them."""
+    bits = bits_for(some.count())
+    return may_be_in(texts, "text_key", membership(some, "text_key", bits), bits)
+
+
 def substring_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
     names_per_sketch: int = NAMES_PER_SKETCH,
@@ -294,7 +301,8 @@ def substring_duplicates(
     own = profiles.filter(~F.col("copy") & F.isnotnull("doc_id")).select("doc_id", "text_key", F.explode("names").alias("name"))
     repeated = cut(repeated_names(own.select("name"), names_per_sketch), "repeated")
     marked = own.join(repeated, "name").groupBy("doc_id", "text_key").agg(F.collect_set("name").alias("names"))
-    suspects = cut(texts.join(marked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "names"), "suspects")
+    marked = cut(marked, "marked")
+    suspects = cut(_texts_of(texts, marked).join(marked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "names"), "suspects")
 
     place = [*key, T.StructField("start", T.IntegerType())]
     found = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), *place, T.StructField("later", T.BooleanType())])
@@ -302,10 +310,10 @@ def substring_duplicates(
     first = windows.filter(~F.col("later")).drop("later").repartition("low", "high").sortWithinPartitions("low", "high", "doc_id")
     later = windows.filter("later").select("doc_id", "text_key", "start")
     later = later.unionByName(first.mapInArrow(_later_windows(T.StructType(place)), T.StructType(place)))
-    starts = later.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    starts = cut(later.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")), "starts")
 
     left = T.StructType([*key, T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    touched = suspects.drop("names").join(starts, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "starts")
+    touched = _texts_of(suspects.drop("names"), starts).join(starts, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "starts")
     touched = cut(touched.mapInArrow(_without(window, left), left).dropDuplicates(["doc_id", "text_key"]), "touched")
     named = [profiles["doc_id"].eqNullSafe(touched["doc_id"]), profiles["text_key"] == touched["text_key"]]
     return profiles.join(touched, named, "left").select(
