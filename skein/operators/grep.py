@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from skein.functions.answers import ranked, with_limits, within_limit
 from skein.functions.paths import base_name_matches, directory_matches
-from skein.functions.patterns import is_literal_column, matches, may_match_file
+from skein.functions.patterns import matches, may_match_file
 from skein.functions.text import strip
-from skein.session import cut, fits_broadcast, semi_join_by_size
+from skein.operators.multi_search import find_literals
+from skein.session import cut
 from skein.sources.lines import numbered_lines, searchable
 
-# Patterns tested as expressions in one pass over the lines. More literals than that are matched by
-# a join, also in one pass; more regexes take one pass per page.
-PATTERNS_PER_PASS = 256
+# Expressions that no text can be told from, tested in one pass over the lines.
+EXPRESSIONS_PER_PASS = 256
 
 
 def search_scope(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -67,54 +67,11 @@ def _match_as_expressions(scope: DataFrame, patterns: Sequence[str], dialect: st
     coarse = [may_match_file(text, p, dialect) for p in patterns]
     if patterns and all(c is not None for c in coarse):
         scope = scope.filter(reduce(Column.__or__, coarse))
-    if not patterns:
-        return numbered_lines(scope.filter(F.lit(False))).withColumn("pattern", F.lit(""))
     # a plain array is exploded inside generated code and tests every pattern once
     tests = F.array(*[F.when(matches(text, p, dialect), F.lit(p)) for p in patterns])
     return numbered_lines(scope).withColumn("pattern", F.explode(tests)).filter(F.isnotnull("pattern"))
 
 
-def grams(text: Column, length: Column | int) -> Column:
-    """Distinct substrings of ``text`` with ``length`` characters."""
-    window = F.concat(F.lit("(?s)(?=(.{"), F.lit(length).cast("string"), F.lit("}))"))
-    return F.array_distinct(F.regexp_extract_all(text, window, F.lit(1)))
-
-
-def _match_as_join(scope: DataFrame, literals: DataFrame) -> DataFrame:
-    """Any number of literals: the substrings of a line that have a literal's length, equi-joined with the literals."""
-    lengths = sorted(row[0] for row in literals.select(F.char_length("pattern")).distinct().collect())
-    if not lengths:
-        return _match_as_expressions(scope, [], "literal")
-    small = F.broadcast(literals) if fits_broadcast(literals) else literals
-    # one row per line and length, so that a long line is not expanded for all lengths at once
-    lines = numbered_lines(scope).withColumn("_length", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    expanded = lines.withColumn("pattern", F.explode(grams(F.col("text"), F.col("_length")))).drop("_length")
-    # a regex walks UTF-16 units and may cut a pair of them: test again on the text itself
-    return expanded.join(small, "pattern").filter(F.contains("text", F.col("pattern")))
-
-
-def match_patterns(scope: DataFrame, patterns: DataFrame, dialect: str) -> DataFrame:
-    """All matches of a table of distinct ``pattern`` values: ``pattern, file_path, line_no, text``.
-
-    Up to ``PATTERNS_PER_PASS`` patterns are tested as expressions of one pass. Beyond that, literals are
-    equi-joined and only real regexes are paged.
-    """
-    patterns = patterns.filter(F.isnotnull("pattern"))
-    few = sorted(row[0] for row in patterns.limit(PATTERNS_PER_PASS + 1).collect())
-    if len(few) <= PATTERNS_PER_PASS:
-        return _match_as_expressions(scope, few, dialect)
-    literal = is_literal_column(F.col("pattern"), dialect)
-    found = [_match_as_join(scope, patterns.filter(literal))]
-    rest, last = patterns.filter(~literal), None
-    while True:
-        page = rest if last is None else rest.filter(F.col("pattern") > last)
-        page = [row[0] for row in page.orderBy("pattern").limit(PATTERNS_PER_PASS).collect()]
-        if not page:
-            return reduce(DataFrame.unionByName, found)
-        found.append(_match_as_expressions(scope, page, dialect))
-        last = page[-1]
-
-
 def grep_requests(
     files: DataFrame,
     requests: DataFrame,
@@ -125,20 +82,20 @@ def grep_requests(
 ) -> DataFrame:
     """``grep`` for a table of ``request_id, pattern[, lim]``; the limit holds per request.
 
-    Equal patterns are searched once. Answers ``request_id`` and the columns of ``grep``.
+    Equal patterns are searched once. Answers ``request_id`` and the columns of ``grep``. Null patterns have no answer.
 
-    Under a limit the places of the matches are ranked without their text, because a frequent pattern
-    may match most lines of the corpus; a second scan fetches the text of the places that are left.
+    All patterns are searched in one pass over the files (see ``multi_search``); a task gives out no more places of a literal than the limit. Only expressions
+    without any text of their own, such as ``[a-z]*``, are tested line by line.
     """
     requests, top = with_limits(requests, limit)
-    patterns = cut(requests.select("pattern").distinct(), "patterns")
+    patterns = cut(requests.filter(F.isnotnull("pattern")).select("pattern").distinct(), "patterns")
     scope = search_scope(files, include, exclude)
-    found = match_patterns(scope, patterns, dialect).withColumnRenamed("line_no", "line_start")
-    if top is None:
-        return _shown(requests.join(found, "pattern"), "request_id")
-    places = found.select("pattern", "file_path", "line_start")
-    places = cut(ranked(places, ["pattern"], ["file_path", "line_start"], top), "grep-places")
-    hit_files = semi_join_by_size(scope, places.select("file_path").distinct(), ["file_path"])
-    texts = numbered_lines(hit_files).withColumnRenamed("line_no", "line_start")
+    found, others = find_literals(scope, patterns, dialect, top)
+    for first in range(0, len(others), EXPRESSIONS_PER_PASS):
+        met = _match_as_expressions(scope, others[first : first + EXPRESSIONS_PER_PASS], dialect).withColumnRenamed("line_no", "line_start")
+        met = ranked(met, ["pattern"], ["file_path", "line_start"], top)
+        found = found.unionByName(cut(met.select(*found.columns), "grep-expressions"))
+    places = ranked(found.select("pattern", "file_path", "line_start"), ["pattern"], ["file_path", "line_start"], top)
+    texts = found.filter(F.isnotnull("text")).groupBy("file_path", "line_start").agg(F.first("text").alias("text"))
     best = places.join(texts, ["file_path", "line_start"])
     return _shown(requests.join(best, "pattern").filter(within_limit()), "request_id")

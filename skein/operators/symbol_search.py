@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.answers import ranked, with_limits, within_limit
-from skein.operators.grep import grams, grep_requests
+from skein.operators.grep import grep_requests
+from skein.operators.name_index import matching_names
 from skein.schemas import SEARCH_HITS, conform
-from skein.session import cut, fits_broadcast, semi_join_by_size
+from skein.session import cut, semi_join_by_size
 
 # File types of the text tier.
 SEARCHED_GLOBS = ["*.py", "*.js", "*.ts", "*.html"]
@@ -47,43 +48,13 @@ def _exact(symbols: DataFrame, requests: DataFrame, top: int | None) -> DataFram
     return _answer(requests, "name", best.join(wanted, "name").filter(_kind_fits()), top)
 
 
-def _like(text: Column, pattern: Column) -> Column:
-    """SQL LIKE with a free end on both sides; a control character escapes, so a backslash is itself."""
-    body = F.replace(pattern, F.lit("\x01"), F.lit("\x01\x01"))
-    return F.like(text, F.concat(F.lit("%"), body, F.lit("%")), F.lit("\x01"))
-
-
-def _substring(symbols: DataFrame, requests: DataFrame, top: int | None, wildcards: bool) -> DataFrame:
-    """Case-insensitive substring tier as an equi-join.
-
-    A request is reduced to its longest run without wildcards; a name is expanded into its distinct
-    substrings of the lengths that occur among those runs. Distinct names are matched, not symbols.
-    """
-    lowered = F.lower("name")
-    runs = F.split(lowered, "[%_]", -1) if wildcards else F.array(lowered)
-    longest = F.element_at(F.array_sort(F.transform(runs, lambda run: F.struct(F.char_length(run).alias("n"), run.alias("run")))), -1)
-    wanted = (
-        requests.select(F.col("name").alias("asked"), "req_kind", longest["run"].alias("gram"))
-        .distinct()
-        .withColumn("wild", F.rlike("asked", F.lit("[%_]")) if wildcards else F.lit(False))
-    )
-    wanted = cut(wanted, "substring-requests")
-    lengths = sorted(row[0] for row in wanted.select(F.char_length("gram")).distinct().collect())
-    if not lengths:
-        return symbols.sparkSession.createDataFrame([], SEARCH_HITS)
-    patterns = wanted.select("asked", "gram", "wild").distinct()
-    if fits_broadcast(patterns):
-        patterns = F.broadcast(patterns)
-    expanded = F.flatten(F.array(*[grams(F.lower("name"), n) if n else F.array(F.lit("")) for n in lengths]))
-    names = symbols.select("name").distinct().withColumn("gram", F.explode(expanded))
-    fits = F.when(F.col("wild"), _like(F.lower("name"), F.lower("asked"))).otherwise(
-        F.contains(F.lower("name"), F.lower("asked"))
-    )
-    matched = cut(names.join(patterns, "gram").filter(fits).select("asked", "name"), "substring-names")
+def _substring(symbols: DataFrame, requests: DataFrame, top: int | None, wildcards: bool, postings: DataFrame | None = None) -> DataFrame:
+    """Case-insensitive substring tier. Only the symbols of as many matching names as the limit asks for are looked up."""
+    wanted = requests.filter(F.isnotnull("name")).select(F.col("name").alias("asked"), "req_kind").distinct()
+    matched = cut(matching_names(symbols, wanted, top, wildcards, postings), "substring-names")
     best = _best_per_name(symbols, matched.select("name").distinct(), top)
-    kinds = wanted.select("asked", "req_kind")
-    found = best.join(matched, "name").join(kinds, "asked").filter(_kind_fits())
-    return _answer(requests, "asked", found, top)
+    found = best.join(matched, (best["name"] == matched["name"]) & best["kind"].eqNullSafe(matched["kind"]))
+    return _answer(requests, "asked", found.select("asked", "req_kind", *[best[c] for c in SHOWN]), top)
 
 
 def search_exact(symbols: DataFrame, requests: DataFrame, limit: int | None = 10) -> DataFrame:
@@ -93,14 +64,15 @@ def search_exact(symbols: DataFrame, requests: DataFrame, limit: int | None = 10
 
 
 def search_substring(
-    symbols: DataFrame, requests: DataFrame, limit: int | None = 10, wildcards: bool = True
+    symbols: DataFrame, requests: DataFrame, limit: int | None = 10, wildcards: bool = True, postings: DataFrame | None = None
 ) -> DataFrame:
     """Symbols whose name contains the requested text, whatever the case.
 
-    With ``wildcards`` a ``%`` or ``_`` in the request matches as in SQL LIKE.
+    With ``wildcards`` a ``%`` or ``_`` in the request matches as in SQL LIKE. ``postings`` is the ``grams`` table of a published index, or the lists that
+    ``name_index.name_grams`` makes; without it they are made for the requests.
     """
     requests, top = _normal(requests, limit)
-    return _substring(symbols, requests, top, wildcards)
+    return _substring(symbols, requests, top, wildcards, postings)
 
 
 def search_symbol(
@@ -109,6 +81,7 @@ def search_symbol(
     files: DataFrame | None = None,
     limit: int | None = 10,
     wildcards: bool = True,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Tiered search for ``requests`` (``request_id, name[, kind][, lim]``).
 
@@ -120,7 +93,7 @@ def search_symbol(
     requests, top = _normal(requests, limit)
     exact = cut(_exact(symbols, requests, top), "exact-hits")
     open_requests = cut(requests.join(exact, "request_id", "left_anti"), "open-requests")
-    substring = _substring(symbols, open_requests, top, wildcards)
+    substring = _substring(symbols, open_requests, top, wildcards, postings)
     hits = exact.unionByName(substring)
     if files is None:
         return hits

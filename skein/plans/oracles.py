@@ -69,7 +69,11 @@ def requests(*parts: tuple[str, str, str, str | None]) -> str:
     return "requests AS (" + " UNION ALL ".join(rows) + ")"
 
 
-WORD = "regexp_extract({}, '^[A-Za-z]+')"
+def words(table: str, column: str) -> str:
+    return f"(SELECT DISTINCT unnest(regexp_extract_all({column}, '[A-Za-z]+')) AS word FROM {table})"
+
+
+PART_WORDS, PASSAGE_WORDS = words("part", "p_name"), words("benchmark", "text")
 
 EXACT_REQUESTS = requests(
     ("nation", "nation", "n_name", None),
@@ -77,25 +81,33 @@ EXACT_REQUESTS = requests(
     ("priority", "orders", "o_orderpriority", None),
     ("part", "part", "p_name", None),
 )
-SUBSTRING_REQUESTS = requests(
+_SUBSTRINGS = (
     ("nation", "nation", "lower(n_name)", None),
     ("region", "region", "lower(r_name)", None),
     ("priority", "orders", "lower(o_orderpriority)", None),
-    ("word", "part", WORD.format("p_name"), None),
+    ("word", PART_WORDS, "word", None),
     ("pattern", "nation", "('_us%#%' || n_nationkey)", None),
 )
+SUBSTRING_REQUESTS = requests(*_SUBSTRINGS)
+INDEXED_REQUESTS = requests(
+    *_SUBSTRINGS,
+    ("two", "nation", "lower(substr(n_name, 1, 2))", None),
+    ("one", "customer", "lower(substr(c_mktsegment, 1, 1))", "view"),
+    ("any", "customer", "repeat('_', length(c_mktsegment))", "model"),
+    ("all", "region", "'%'", "class"),
+)
 KIND_REQUESTS = requests(
     ("model", "nation", "n_name", "model"),
     ("no view", "nation", "n_name", "view"),
-    ("import", "part", WORD.format("p_name"), "import"),
-    ("no model", "part", WORD.format("p_name"), "model"),
-    ("view", "customer", "lower(substr(c_name, 1, 15))", "view"),
+    ("import", PART_WORDS, "word", "import"),
+    ("no model", PART_WORDS, "word", "model"),
+    ("view", "customer", "lower(c_name)", "view"),
 )
 TIERED_REQUESTS = requests(
     ("exact", "nation", "n_name", None),
     ("hot", "orders", "o_orderpriority", None),
-    ("substring", "part", WORD.format("p_name"), None),
-    ("text", "benchmark", WORD.format("text"), "model"),
+    ("substring", PART_WORDS, "word", None),
+    ("text", PASSAGE_WORDS, "word", "model"),
 )
 
 KIND_FITS = "(r.kind IS NULL OR s.kind = r.kind)"
@@ -276,6 +288,7 @@ def _grep_in(of: str, pattern: str, limit: int, where: str = "TRUE") -> str:
 ORACLES: dict[str, str] = {
     "symbol_exact": SYMBOL_EXACT,
     "symbol_substring": f"WITH {ENTITY_SYMBOLS.strip()}, {SUBSTRING_REQUESTS}, {substring_tier('requests')} SELECT {HIT} FROM loose",
+    "symbol_indexed": f"WITH {ENTITY_SYMBOLS.strip()}, {INDEXED_REQUESTS}, {substring_tier('requests')} SELECT {HIT} FROM loose",
     "symbol_substring_literal": f"WITH {ENTITY_SYMBOLS.strip()}, {SUBSTRING_REQUESTS}, {substring_tier('requests', False)} SELECT {HIT} FROM loose",
     "symbol_kind": f"""WITH {ENTITY_SYMBOLS.strip()}, {KIND_REQUESTS}, {exact_tier()}, {OPEN_AFTER_EXACT}, {substring_tier('open')}
 SELECT {HIT} FROM exact UNION ALL SELECT {HIT} FROM loose""",
@@ -289,7 +302,7 @@ SELECT request_id, '[graph] ' || qualified_name || ' - ' || kind || ' @ ' || lin
 UNION ALL SELECT request_id, '[graph] ' || from_qualified || ' - ' || relation || ' @ ' || line_start FROM ({USAGES_ALL})""",
     "usages": f"{GRAPH} SELECT request_id, from_qualified, relation, file_path, line_start, 'graph' AS source FROM ({USAGES_ALL})",
     "usages_fallback": f"""{GRAPH}, {TEXT_FILES.strip()}, {LINES}, requests AS (
-  SELECT DISTINCT 'passage.' || {WORD.format('text')} AS request_id, {WORD.format('text')} AS word FROM benchmark
+  SELECT 'passage.' || word AS request_id, word FROM {PASSAGE_WORDS}
   UNION ALL SELECT 'nation.' || n_nationkey, CAST(n_nationkey AS VARCHAR) FROM nation),
 hits AS (SELECT * FROM ({USAGES_ALL}) WHERE request_id IN (SELECT request_id FROM requests)),
 left_over AS (SELECT * FROM requests WHERE request_id NOT IN (SELECT request_id FROM hits))
@@ -339,8 +352,13 @@ FROM asked a LEFT JOIN found f USING (request_id) LEFT JOIN text_files t ON t.fi
     "grep_include_exclude": f"""{TEXT} SELECT {GREP} FROM lines WHERE regexp_matches(text, '(ing|ment)[.,]')
 AND ({BASE_NAME} LIKE '%.py' OR {BASE_NAME} LIKE 'page__.html')
 AND NOT regexp_matches(file_path, '(^|/)f[qr]/') AND NOT regexp_matches(file_path, '(^|/)src1[^/]*/')""",
-    "grep_many": f"""{TEXT}, asked AS (SELECT 'item ' || item_id AS request_id, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS word FROM benchmark)
+    "grep_many": f"""{TEXT}, asked AS (SELECT 'word ' || word AS request_id, word FROM {PASSAGE_WORDS})
 SELECT request_id, file_path, line_start, match_text, 'grep' AS source FROM ({_grep_in('asked', 'r.word', 20)})""",
+    "grep_expressions": f"""{TEXT}, asked AS (
+  SELECT '^' || word || ' ' AS request_id, word || ' ' AS word, 0 AS kind FROM {PASSAGE_WORDS}
+  UNION ALL SELECT word || '[,;] [a-z]*', word, 1 FROM {PASSAGE_WORDS} UNION ALL SELECT '[A-Z][0-9]', '', 2)
+SELECT request_id, file_path, line_start, match_text, 'grep' AS source FROM (
+  {_grep_in('asked', 'r.word', 5, "CASE r.kind WHEN 0 THEN starts_with(l.text, r.word) WHEN 1 THEN contains(l.text, r.word || ', ') OR contains(l.text, r.word || '; ') ELSE regexp_matches(l.text, '[A-Z][0-9]') END")})""",
     "listing_scan": f"""WITH {TEXT_FILES.strip()}, flat AS (SELECT {BASE_NAME} AS file_path, text FROM text_files)
 SELECT file_path, length(text) AS n_chars FROM flat
 WHERE file_path LIKE 'doc%' AND CAST(regexp_extract(file_path, 'doc_([0-9]+)', 1) AS BIGINT) IN (SELECT doc_id FROM labels)""",

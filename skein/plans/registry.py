@@ -13,6 +13,7 @@ from skein.operators import extract as ex
 from skein.operators import maintain as mt
 from skein.operators.context import file_head, line_context
 from skein.operators.grep import grep, grep_requests
+from skein.operators.name_index import name_grams
 from skein.operators.plugins import WEB, apply_plugins
 from skein.operators.semantic import search_semantic
 from skein.operators.shortest_path import path_between
@@ -26,7 +27,7 @@ from skein.session import cut, scratch_path
 from skein.sources.files import dispatch, drop_excluded, from_table, prune_walk, restrict_to, with_hash, with_text
 from skein.sources.lines import numbered_lines
 from skein.streaming.feed import apply_versions, latest_versions, run_feed
-from skein.sources.store import read_table
+from skein.sources.store import publish, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,8 +44,9 @@ def _requests(*parts: tuple[str, DataFrame, Column, str | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, made)
 
 
-def _first_word(column: str) -> Column:
-    return F.regexp_extract(column, "^[A-Za-z]+", 0)
+def _words(df: DataFrame, column: str) -> DataFrame:
+    """``word``: all distinct words of a text column."""
+    return df.select(F.explode(F.regexp_extract_all(column, F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
 
 
 # ---- symbol search ------------------------------------------------------------------------------
@@ -68,7 +70,7 @@ def substring_requests(spark: SparkSession, sf: str) -> DataFrame:
         ("nation", load(spark, sf, "nation"), F.lower("n_name"), None),
         ("region", load(spark, sf, "region"), F.lower("r_name"), None),
         ("priority", load(spark, sf, "orders"), F.lower("o_orderpriority"), None),
-        ("word", load(spark, sf, "part"), _first_word("p_name"), None),
+        ("word", _words(load(spark, sf, "part"), "p_name"), F.col("word"), None),
         ("pattern", load(spark, sf, "nation"), F.concat(F.lit("_us%#%"), F.col("n_nationkey").cast("string")), None),
     )
 
@@ -77,6 +79,22 @@ def symbol_substring(spark: SparkSession, sf: str) -> DataFrame:
     return search_substring(entity_symbols(spark, sf), substring_requests(spark, sf)).select(*HIT)
 
 
+def symbol_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests of ``symbol_substring``, and some of one or two characters and of wildcards only, from published posting lists."""
+    symbols = entity_symbols(spark, sf)
+    root = scratch_path(spark, "postings")
+    publish(root, {"grams": name_grams(symbols)}, buckets=8)
+    nation, segment = load(spark, sf, "nation"), load(spark, sf, "customer")
+    short = _requests(
+        ("two", nation, F.lower(F.substr("n_name", F.lit(1), F.lit(2))), None),
+        ("one", segment, F.lower(F.substr("c_mktsegment", F.lit(1), F.lit(1))), "view"),
+        ("any", segment, F.regexp_replace("c_mktsegment", ".", "_"), "model"),
+        ("all", load(spark, sf, "region"), F.regexp_replace("r_name", ".+", "%"), "class"),
+    )
+    asked = substring_requests(spark, sf).unionByName(short)
+    return search_substring(symbols, asked, postings=read_table(spark, root, "grams")).select(*HIT)
+
+
 def symbol_substring_literal(spark: SparkSession, sf: str) -> DataFrame:
     found = search_substring(entity_symbols(spark, sf), substring_requests(spark, sf), wildcards=False)
     return found.select(*HIT)
@@ -84,12 +102,13 @@ def symbol_substring_literal(spark: SparkSession, sf: str) -> DataFrame:
 
 def kind_requests(spark: SparkSession, sf: str) -> DataFrame:
     nation, part, customer = (load(spark, sf, t) for t in ("nation", "part", "customer"))
+    words = _words(part, "p_name")
     return _requests(
         ("model", nation, F.col("n_name"), "model"),
         ("no view", nation, F.col("n_name"), "view"),
-        ("import", part, _first_word("p_name"), "import"),
-        ("no model", part, _first_word("p_name"), "model"),
-        ("view", customer, F.lower(F.substr("c_name", F.lit(1), F.lit(15))), "view"),
+        ("import", words, F.col("word"), "import"),
+        ("no model", words, F.col("word"), "model"),
+        ("view", customer, F.lower("c_name"), "view"),
     )
 
 
@@ -102,8 +121,8 @@ def tiered_requests(spark: SparkSession, sf: str) -> DataFrame:
     return _requests(
         ("exact", nation, F.col("n_name"), None),
         ("hot", load(spark, sf, "orders"), F.col("o_orderpriority"), None),
-        ("substring", part, _first_word("p_name"), None),
-        ("text", load(spark, sf, "benchmark"), _first_word("text"), "model"),
+        ("substring", _words(part, "p_name"), F.col("word"), None),
+        ("text", _words(load(spark, sf, "benchmark"), "text"), F.col("word"), "model"),
     )
 
 
@@ -132,8 +151,8 @@ def usages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def usages_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    word = _first_word("text")
-    unknown = load(spark, sf, "benchmark").select(F.concat(F.lit("passage."), word).alias("qualified_name")).distinct()
+    words = _words(load(spark, sf, "benchmark"), "text")
+    unknown = words.select(F.concat(F.lit("passage."), F.col("word")).alias("qualified_name"))
     known = load(spark, sf, "nation").select(F.concat(F.lit("nation."), F.col("n_nationkey").cast("string")).alias("qualified_name"))
     asked = unknown.unionByName(known).withColumn("request_id", F.col("qualified_name"))
     return find_usages(entity_symbols(spark, sf), entity_edges(spark, sf), asked, text_files(spark, sf))
@@ -223,13 +242,19 @@ def grep_include_exclude(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grep_many(spark: SparkSession, sf: str) -> DataFrame:
-    word = F.regexp_extract("text", "([A-Za-z]+)[^A-Za-z]*$", 1)
-    asked = load(spark, sf, "benchmark").select(
-        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("request_id"), word.alias("pattern")
-    )
+    asked = _words(load(spark, sf, "benchmark"), "text").select(F.concat(F.lit("word "), F.col("word")).alias("request_id"), F.col("word").alias("pattern"))
     return grep_requests(text_files(spark, sf), asked, limit=20, dialect="basic")
 
 
+def grep_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    """An expression for each distinct word: the word at the start of a line or before a comma, and one that has no text of its own."""
+    words = _words(load(spark, sf, "benchmark"), "text")
+    forms = [F.concat(F.lit("^"), F.col("word"), F.lit(" ")), F.concat(F.col("word"), F.lit("[,;] [a-z]*"))]
+    asked = words.select(F.explode(F.array(*forms)).alias("pattern")).unionByName(spark.range(1).select(F.lit("[A-Z][0-9]").alias("pattern")))
+    asked = asked.withColumn("request_id", F.col("pattern"))
+    return grep_requests(text_files(spark, sf), asked, limit=5, dialect="basic")
+
+
 # ---- scan ---------------------------------------------------------------------------------------
 
 
@@ -345,22 +370,27 @@ def changed_files(spark: SparkSession, sf: str) -> DataFrame:
     return mt.changed_files(after, before).select("file_path", "content_hash")
 
 
+def _updated(spark: SparkSession, sf: str, resolve: str = "complete") -> Index:
+    """A published index, updated with version 2 of the corpus, published as a change and read back."""
+    before = _published(spark, sf, resolve)
+    update_index(before, code_corpus(spark, sf, 2), resolve=resolve).publish(before.root)
+    return load_index(spark, before.root)
+
+
 def upsert_files(spark: SparkSession, sf: str) -> DataFrame:
-    after = update_index(_published(spark, sf), code_corpus(spark, sf, 2))
-    return after.files.select("file_path", "module_path", "symbol_count", "content_hash")
+    return _updated(spark, sf).files.select("file_path", "module_path", "symbol_count", "content_hash")
 
 
 def replace_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return update_index(_published(spark, sf), code_corpus(spark, sf, 2)).symbols.select(*SYMBOL_COLUMNS)
+    return _updated(spark, sf).symbols.select(*SYMBOL_COLUMNS)
 
 
 def update_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return update_index(_published(spark, sf), code_corpus(spark, sf, 2)).edges
+    return _updated(spark, sf).edges
 
 
 def cascade_edges(spark: SparkSession, sf: str) -> DataFrame:
-    before = _published(spark, sf, "as_indexed")
-    return update_index(before, code_corpus(spark, sf, 2), resolve="as_indexed").edges
+    return _updated(spark, sf, "as_indexed").edges
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -436,6 +466,7 @@ def feed_batch(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "symbol_exact": symbol_exact,
     "symbol_substring": symbol_substring,
+    "symbol_indexed": symbol_indexed,
     "symbol_substring_literal": symbol_substring_literal,
     "symbol_kind": symbol_kind,
     "symbol_tiered": symbol_tiered,
@@ -455,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "grep_basic": grep_basic,
     "grep_include_exclude": grep_include_exclude,
     "grep_many": grep_many,
+    "grep_expressions": grep_expressions,
     "listing_scan": listing_scan,
     "tree_prune": tree_prune,
     "exclude_filter": exclude_filter,

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
-from functools import reduce
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.membership import may_be_in, membership
 from skein.functions.paths import base_name, base_name_matches, contains_any, segments
 from skein.functions.text import decode_utf8
 from skein.session import cut
@@ -32,20 +34,47 @@ DEFAULT_EXCLUDE = [
 LISTED = "path string, is_dir boolean"
 READ = "path string, content binary"
 BATCH_BYTES = 16 * 1024 * 1024
+ENTRIES_AT_ONCE = 10_000
+# Bits of the filter over the paths of a listing (1 MB).
+LISTING_BITS = 1 << 23
+
+
+_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]*)://([^/]*)(.*)", re.S)
+
+
+@lru_cache(maxsize=64)
+def _store(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, and what it puts in front of paths."""
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system, base.rstrip("/")
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str, str, str]:
+    """File system and plain path of ``path``, and by what the start of such a plain path is replaced to name it again.
+
+    Only scheme and authority are read as a URI: what follows is the name as it is, with any ``#``, ``?``, ``%`` or blank in it.
+    """
+    uri = _URI.match(path)
+    if not uri:
+        return fs.LocalFileSystem(), path, "", ""
+    scheme, authority, rest = uri.groups()
+    system, base = _store(scheme, authority)
+    return system, base + rest, base, f"{scheme}://{authority}"
 
 
 def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder in batch.column("path").to_pylist():
-            system, inner = fs.FileSystem.from_uri(folder)
-            scheme = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+            system, inner, base, prefix = _opened(folder)
             local = isinstance(system, fs.LocalFileSystem)
             entries = [e for e in system.get_file_info(fs.FileSelector(inner)) if e.type != fs.FileType.NotFound]
-            is_dir = [e.type == fs.FileType.Directory for e in entries]
-            # like a plain walk, do not enter linked directories: they may lead back up
-            kept = [i for i, e in enumerate(entries) if not (local and is_dir[i] and os.path.islink(e.path))]
-            paths = pa.array([scheme + entries[i].path for i in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([paths, pa.array([is_dir[i] for i in kept], pa.bool_())], ["path", "is_dir"])
+            for first in range(0, len(entries), ENTRIES_AT_ONCE):
+                some = entries[first : first + ENTRIES_AT_ONCE]
+                # like a plain walk, do not enter linked directories: they may lead back up
+                some = [e for e in some if not (local and e.type == fs.FileType.Directory and os.path.islink(e.path))]
+                paths = pa.array([prefix + e.path[len(base) :] for e in some], pa.string())
+                is_dir = pa.array([e.type == fs.FileType.Directory for e in some], pa.bool_())
+                yield pa.RecordBatch.from_arrays([paths, is_dir], ["path", "is_dir"])
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +85,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, size = [], 0
         for path in batch.column("path").to_pylist():
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner, _, _ = _opened(path)
             try:
                 # raw bytes, whatever the name ends in
                 with system.open_input_stream(inner, compression=None) as stream:
@@ -74,11 +103,13 @@ def _spread(paths: DataFrame) -> DataFrame:
     return paths.repartition("path")
 
 
-def walk_tree(spark: SparkSession, root: str, prune: Sequence[str] | None = None) -> DataFrame:
+def walk_tree(
+    spark: SparkSession, root: str, prune: Sequence[str] | None = None, enter: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """``path`` of every file below ``root`` (a local path or a URI), one job per directory level.
 
     Directories are listed by the tasks. With ``prune``, hidden directories and those with one of these
-    exact names are not entered. Spark's own file sources are no help here: they leave out empty
+    exact names are not entered, with ``enter`` only those whose path it holds for. Names of files are taken as they are, also below a URI. Spark's own file sources are no help here: they leave out empty
     files and names that start with ``_`` or ``.``, such as ``__init__.py``.
     """
     level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
@@ -90,6 +121,8 @@ def walk_tree(spark: SparkSession, root: str, prune: Sequence[str] | None = None
         if prune is not None:
             name = base_name(F.col("path"))
             level = level.filter(~(name.isin(*prune) | F.startswith(name, F.lit("."))))
+        if enter is not None:
+            level = level.filter(enter(F.col("path")))
         if level.isEmpty():
             return reduce(DataFrame.unionByName, found)
         level = _spread(level)
@@ -121,9 +154,14 @@ def scan_tree(
     Paths are relative to ``root`` and start with ``prefix`` (the base name of ``root`` when not given,
     nothing when empty), so that ``scan_tree(spark, "/data/src")`` yields ``src/app/models.py``.
     Only files whose base name matches one of ``globs``, whose path holds none of the ``exclude`` strings and, with a
-    ``listing`` (``file_path``), which it lists are read; ``prune`` is that of ``walk_tree``.
+    ``listing`` (``file_path``), which it lists are read; ``prune`` is that of ``walk_tree``. A directory below which every path would hold an ``exclude``
+    string is not even listed.
     """
-    paths = walk_tree(spark, root, prune)
+
+    def enter(path: Column) -> Column:
+        return ~contains_any(F.concat(_relative(path, root, prefix), F.lit("/")), list(exclude))
+
+    paths = walk_tree(spark, root, prune, enter if exclude else None)
     if globs:
         paths = paths.filter(base_name_matches(F.col("path"), globs))
     named = paths.withColumn("file_path", _relative(F.col("path"), root, prefix))
@@ -156,8 +194,12 @@ def prune_walk(scan: DataFrame, exclude: Sequence[str] = DEFAULT_EXCLUDE, root_d
 
 
 def restrict_to(scan: DataFrame, listing: DataFrame) -> DataFrame:
-    """Only the listed paths; a listed path that is not there is skipped."""
-    return scan.join(listing.select("file_path"), "file_path", "left_semi")
+    """Only the listed paths; a listed path that is not there is skipped.
+
+    A bitmap over the listing drops most other files in the stage that reads them, so their content does not reach the join.
+    """
+    listed = listing.select("file_path")
+    return may_be_in(scan, "file_path", membership(listed, "file_path", LISTING_BITS), LISTING_BITS).join(listed, "file_path", "left_semi")
 
 
 def drop_excluded(scan: DataFrame, exclude: Sequence[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from skein.functions.patterns import basic_to_java
 from skein.operators import semantic
 from skein.operators.context import line_context
 from skein.operators.extract import PYTHON, Extractor, extract, python_batches, symbols_of
-from skein.plans.indexing import index_corpus
+from skein.plans.indexing import index_corpus, index_tree
 from skein.sources import files
 from skein.sources.store import pointers, read_table
 from skein.streaming.feed import apply_versions, run_feed
@@ -76,7 +76,7 @@ def test_only_missing_files_are_skipped(monkeypatch, error, fails):
         def open_input_stream(self, path, compression=None):
             raise error
 
-    monkeypatch.setattr(files, "fs", type("fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(lambda path: (Store(), path))})}))
+    monkeypatch.setattr(files, "_opened", lambda path: (Store(), path, "", ""))
     read = files._read_files(iter([pa.record_batch([pa.array(["s3://b/x"])], ["path"])]))
     if fails:
         with pytest.raises(OSError):
@@ -85,6 +85,35 @@ def test_only_missing_files_are_skipped(monkeypatch, error, fails):
         assert sum(b.num_rows for b in read) == 0
 
 
+ODD_NAMES = ["a#b.py", "c.py", "d%41.py", "e?f.py", "blank in name.py", "\u00fc\u6f22.py", "sub dir#1/g%20h.py", "plus+.py", "semi;.py"]
+
+
+def test_names_below_a_uri_are_taken_as_they_are(spark, tmp_path):
+    for i, name in enumerate(ODD_NAMES):
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_bytes(f"x = {i}\n".encode())
+    want = {f"src/{name}": f"x = {i}\n".encode() for i, name in enumerate(ODD_NAMES)}
+    listing = spark.createDataFrame([(name,) for name in ODD_NAMES], "file_path string")
+    for root in (f"{tmp_path}/src", f"file://{tmp_path}/src", f"file://{tmp_path}/src/"):
+        assert {r.file_path: bytes(r.content) for r in files.scan_tree(spark, root).collect()} == want
+        assert {r.file_path: bytes(r.content) for r in files.scan_listed(listing, root).collect()} == want
+
+
+def test_excluded_directories_are_not_listed(spark, tmp_path):
+    for name in ("a.py", "node_modules/deep/b.py", ".git/c.py", "ok/d.py", "ok/builder.py", "ok/e.txt"):
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_bytes(b"x = 1\n")
+    index = index_tree(spark, f"{tmp_path}/src")
+    assert {r.file_path for r in index.files.collect()} == {"src/a.py", "src/ok/d.py"}
+    (tmp_path / "src" / "node_modules").chmod(0)  # entering it would fail
+    try:
+        assert index_tree(spark, f"{tmp_path}/src").files.count() == 2
+        walked = files.walk_tree(spark, f"{tmp_path}/src", enter=lambda path: ~F.contains(path, F.lit("node_modules")))
+        assert walked.filter(F.contains("path", F.lit("node_modules"))).count() == 0
+    finally:
+        (tmp_path / "src" / "node_modules").chmod(0o755)
+
+
 def test_excluded_and_unlisted_files_are_not_read(spark, tmp_path):
     root = tmp_path / "src"
     for name in ("a.py", "b.py", "build/c.py", "note.md"):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from skein.operators import grep as grep_module
+from skein.operators import multi_search
 from skein.operators.context import file_head, line_context
 from skein.operators.grep import grep, grep_requests
 from skein.operators.semantic import search_semantic
@@ -68,9 +69,11 @@ def test_grep_literal_limit_and_scope(files):
         grep(files, "get", limit=-1)
 
 
-@pytest.mark.parametrize("per_pass", [256, 2])
-def test_many_patterns(spark, files, monkeypatch, per_pass):
-    monkeypatch.setattr(grep_module, "PATTERNS_PER_PASS", per_pass)
+@pytest.mark.parametrize("per_page, held", [(20_000, 500_000), (2, 1)])
+def test_many_patterns(spark, files, monkeypatch, per_page, held):
+    monkeypatch.setattr(multi_search, "PAGE_ROWS", per_page)
+    monkeypatch.setattr(multi_search, "HELD", held)
+    monkeypatch.setattr(grep_module, "EXPRESSIONS_PER_PASS", 1 if held == 1 else 256)
     patterns = ["get", "user", "e", "\U0001f600", "µ\U0001f600s", "nothing", "", "return get"]
     asked = spark.createDataFrame([(f"{i}", p) for i, p in enumerate(patterns)] + [("again", "get")], "request_id string, pattern string")
     got = grep_requests(files, asked, limit=None, dialect="literal").collect()
