@@ -18,13 +18,15 @@ BOILERPLATE = frozenset(
     "head nav footer aside form button select dialog menu noscript template svg object canvas audio video".split()
 )
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies"
-    " disqus footer form hidden login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
+    "ad ads adsbygoogle advert advertisement advertising adverts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies"
+    " disclaimer disqus footer form hidden login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
     " promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar"
     " widget".split()
 )
 HEADER_WORDS = frozenset("header masthead".split())
-_ASIDE_ARTICLES = frozenset("ad comment comments promo related reply sponsored".split())
+_ASIDE_ARTICLES = frozenset("ad comment comments promo related reply sponsored teaser teasers".split())
+# Blocks of running text: an id made from a heading, or a class that styles a paragraph, says nothing about what they are.
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote dt dd caption figcaption".split())
 _ROLES = frozenset("banner complementary contentinfo navigation search form dialog alert".split())
 # Opening one of the first closes an open one of the second, unless one of the third stands between.
 _IMPLIED = {
@@ -72,7 +74,8 @@ def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, b
             elif key in ("class", "id"):
                 words += [w.lower() for w in _NAME.findall(value)]
         by_word = not boilerplate
-        boilerplate |= not BOILERPLATE_WORDS.isdisjoint(words) or not in_article and not HEADER_WORDS.isdisjoint(words)
+        if tag not in TEXT_BLOCKS:
+            boilerplate |= not BOILERPLATE_WORDS.isdisjoint(words) or not in_article and not HEADER_WORDS.isdisjoint(words)
         if tag in ("html", "body", "article", "main"):  # page-wide flags such as "has-sidebar"
             boilerplate, by_word = tag == "article" and not _ASIDE_ARTICLES.isdisjoint(words), False
     return ".".join([tag, *dict.fromkeys(words)]), boilerplate, boilerplate and by_word

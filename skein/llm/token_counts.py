@@ -18,6 +18,10 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
+# Bytes of the longest words that go into the trie.
+LONG_WORD = 1000
+
+
 class Unigram:
     """Pieces with scores, and what a character outside the vocabulary costs."""
 
@@ -45,6 +49,26 @@ class Unigram:
         return cls({piece: -math.log(rank) - total for rank, piece in enumerate(ordinary, 1)})
 
 
+    def count(self, word: str) -> int:
+        """The tokens that ``Trie.insert`` finds, with no more memory than the longest piece needs."""
+        reach = max((lengths[-1] for lengths in self.lengths.values()), default=1) + 1
+        score, tokens = [0.0] * reach, [0] * reach
+        for end, char in enumerate(word, 1):
+            last = (end - 1) % reach
+            best, fewest = score[last] + self.unknown, tokens[last] + len(char.encode())
+            for length in self.lengths.get(char, ()):
+                if length > end:
+                    break
+                piece = self.scores.get(word[end - length : end])
+                if piece is not None:
+                    before = (end - length) % reach
+                    total, n = score[before] + piece, tokens[before] + 1
+                    if total > best or total == best and n < fewest:
+                        best, fewest = total, n
+            score[end % reach], tokens[end % reach] = best, fewest
+        return tokens[len(word) % reach]
+
+
 class Trie:
     """Words in a trie of code points; node 0 is the empty prefix."""
 
@@ -83,7 +107,10 @@ class Trie:
 
 
 class CountTable(dict):
-    """Token counts by word (UTF-8 bytes); trie and counts start anew at ``limit`` nodes or words."""
+    """Token counts by word (UTF-8 bytes); trie and counts start anew at ``limit`` nodes or words.
+
+    Words of more than ``LONG_WORD`` bytes share no prefix worth keeping: they are counted one by one and not kept.
+    """
 
     def __init__(self, model: Unigram, limit: int = 400_000) -> None:
         super().__init__()
@@ -99,13 +126,16 @@ class CountTable(dict):
         for word in sorted(new):
             self[word] = self.trie.insert(MARK + word.decode())
 
+    def __missing__(self, word: bytes) -> int:
+        return self.trie.model.count(MARK + word.decode())
+
     def counts(self, texts: list[bytes], group: int = 512) -> tuple[list[int], list[int]]:
         """Words and tokens of every text."""
         n_words: list[int] = []
         n_tokens: list[int] = []
         for start in range(0, len(texts), group):
             some = [t.split() for t in texts[start : start + group]]
-            self.add({w for words in some for w in words})
+            self.add({w for words in some for w in words if len(w) <= LONG_WORD})
             n_words += map(len, some)
             n_tokens += [sum(map(self.__getitem__, words)) for words in some]
         return n_words, n_tokens

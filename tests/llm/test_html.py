@@ -143,3 +143,14 @@ def test_long_text_that_is_the_same_on_all_pages_is_no_slot():
     assert expression(wrapper(page % 1, page % 2)) == "<body><div.legal>=</div><div.text>#</div></body>"
     assert main_paths(wrapper(page % 1, page % 2)) == [["body", "div.text"]]
     assert main_text(page % 1, [["body", "div.text"]]) == "article number 1"
+
+
+def test_words_never_cut_running_text():
+    page = (
+        '<html><body><nav>menu</nav><article><h2 id="login">How login works</h2><p class="search">Search trees.</p><p id="related">Kept.</p>'
+        '<div class="disclaimer">legal</div><ins class="adsbygoogle">buy</ins><div class="commentlist"><p>first!</p></div></article>'
+        '<article class="teaser">read on</article></body></html>'
+    )
+    text = main_text(page, [])
+    assert "How login works" in text and "Search trees." in text and "Kept." in text
+    assert not any(word in text for word in ("menu", "legal", "first!", "read on"))

@@ -254,3 +254,17 @@ def test_best_fit_replaces_and_keeps_columns(spark):
         assert len(got) == 50 and all(r.sequence_id is not None for r in got)
         if name.startswith("_"):
             assert {r[3] for r in got} == {"clash"}
+
+
+def test_long_words_take_bounded_memory():
+    import tracemalloc
+
+    table = CountTable(Unigram.from_vocabulary(PIECES), limit=1000)
+    model = table.trie.model
+    for word in ("", "a", "hello", "Donaudampfschiff" * 40, "漢字é" * 500, "x1" * 3000):
+        assert model.count("▁" + word) == Trie(model).insert("▁" + word)
+    long = ("thederingandtion" * 20_000).encode()
+    tracemalloc.start()
+    assert table.counts([long + b" a", b"a"])[0] == [2, 1]
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000 and long not in table
+    tracemalloc.stop()
