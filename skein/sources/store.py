@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,8 @@ MARKER = T.StructType(
     ]
 )
 MANIFEST = "table string, bucket int, buckets int, path string, schema string"
+MANIFESTS_KEPT = 16
+_MANIFESTS: dict[str, list[dict]] = {}
 
 
 class ConcurrentPublish(RuntimeError):
@@ -136,9 +139,13 @@ def _manifest_place(spark: SparkSession, root: str, version: int) -> str:
 
 
 def manifest(spark: SparkSession, root: str, version: int) -> list[dict]:
-    """Rows of a version's manifest: at most one for every table and bucket."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{root}/{_manifest_place(spark, root, version)}")
-    return [row.asDict() for row in rows.collect()]
+    """Rows of a version's manifest: at most one for every table and bucket. A manifest never changes, so the last few are kept."""
+    place = f"{root}/{_manifest_place(spark, root, version)}"
+    if place not in _MANIFESTS:
+        while len(_MANIFESTS) >= MANIFESTS_KEPT:
+            _MANIFESTS.pop(next(iter(_MANIFESTS)), None)
+        _MANIFESTS[place] = [row.asDict() for row in spark.read.schema(MANIFEST).parquet(place).collect()]
+    return _MANIFESTS[place]
 
 
 def _tables(rows: list[dict]) -> dict[str, dict]:
@@ -175,17 +182,25 @@ def _finish(
     return version
 
 
+def _side_by_side(write: Callable[[str], dict], names: Iterable[str]) -> dict[str, dict]:
+    """``write(name)`` for all tables at once: their jobs are independent, and small ones leave most of a cluster idle."""
+    names = list(names)
+    with ThreadPoolExecutor(len(names)) as pool:
+        return dict(zip(names, pool.map(write, names)))
+
+
 def publish(
     root: str, tables: Mapping[str, DataFrame], source_batch: int | None = None, feed: str | None = None, buckets: int = BUCKETS
 ) -> int:
     """Write all ``tables`` as the next version below ``root``; they become visible together."""
     spark = next(iter(tables.values())).sparkSession
-    written = {}
-    for name, rows in tables.items():
-        place = _write(root, name, rows, buckets)
+
+    def write(name: str) -> dict:
+        place = _write(root, name, tables[name], buckets)
         paths = {k: f"{place}/bucket={k}" for k in _buckets_in(spark, root, place)}
-        written[name] = {"buckets": buckets, "schema": rows.schema.json(), "paths": paths}
-    return _finish(spark, root, written, None, source_batch, feed)
+        return {"buckets": buckets, "schema": tables[name].schema.json(), "paths": paths}
+
+    return _finish(spark, root, _side_by_side(write, tables), None, source_batch, feed)
 
 
 def publish_changes(
@@ -196,17 +211,19 @@ def publish_changes(
     Fails with ``ConcurrentPublish`` when another run has published that version. At most one number per bucket reaches the driver.
     """
     tables = _tables(manifest(spark, root, base))
-    for name, change in changes.items():
-        table = tables[name]
+
+    def write(name: str) -> dict:
+        table, change = tables[name], changes[name]
         touched = change.keys.select(bucket_of(F.col("key"), table["buckets"]).alias("bucket")).distinct()
         touched = {row[0] for row in touched.collect()}
         if not touched:
-            continue
+            return table
         rows = change.apply(_read(spark, root, table, touched))
         place = _write(root, name, rows, table["buckets"])
         new = {k: f"{place}/bucket={k}" for k in _buckets_in(spark, root, place)}
-        table["paths"] = {k: path for k, path in table["paths"].items() if k not in touched} | new
-    return _finish(spark, root, tables, base, source_batch, feed)
+        return {**table, "paths": {k: path for k, path in table["paths"].items() if k not in touched} | new}
+
+    return _finish(spark, root, {**tables, **_side_by_side(write, changes)}, base, source_batch, feed)
 
 
 def table_names(spark: SparkSession, root: str, version: int | None) -> list[str]:
