@@ -407,6 +407,13 @@ UNION {resolved_in_order('new_raw', 'visible', 'seen_from')}""",
     "shortest_cycle": paths(
         "SELECT 'supplier.' || s_suppkey AS request_id, 'supplier.' || s_suppkey AS source, 'supplier.' || s_suppkey AS target FROM supplier", 3
     ),
+    "shortest_deep": paths(
+        """SELECT source || ' to ' || target AS request_id, source, target FROM (
+    SELECT 'part.' || p_partkey AS source, 'nation.' || c_nationkey AS target FROM part JOIN customer ON c_custkey = p_partkey
+    UNION ALL SELECT 'supplier.' || s_suppkey, 'supplier.' || (s_suppkey + 1) FROM supplier
+    UNION ALL SELECT 'supplier.' || s_suppkey, 'customer.' || s_suppkey FROM supplier)""",
+        6,
+    ),
     "semantic_topk": """WITH dims AS (SELECT label, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 q AS (SELECT label, list(x ORDER BY d) AS e FROM (SELECT label, d, avg(x) AS x FROM dims GROUP BY label, d) GROUP BY label),
 s AS (SELECT q.label, vec_id, round(list_cosine_similarity(e, CAST(embedding AS DOUBLE[])), 12) AS score FROM q CROSS JOIN embeddings),

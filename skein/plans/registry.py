@@ -405,6 +405,10 @@ def _shown_path(found: DataFrame) -> DataFrame:
     return found.select("request_id", F.array_join(steps, " > ").alias("path"))
 
 
+def _named(prefix: str, key: str) -> Column:
+    return F.concat(F.lit(prefix), F.col(key).cast("string"))
+
+
 def _to_one(df: DataFrame, prefix: str, key: str, target: str) -> DataFrame:
     source = F.concat(F.lit(prefix), F.col(key).cast("string"))
     return df.select(source.alias("request_id"), source.alias("from_qualified"), F.lit(target).alias("to_qualified"))
@@ -426,6 +430,26 @@ def shortest_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return _shown_path(path_between(entity_symbols(spark, sf), edges, asked, max_depth=3))
 
 
+def deep_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """From every part to the nation of the customer of that number, from every supplier to the next one, and to a customer, where nothing leads."""
+    customer, supplier = load(spark, sf, "customer"), load(spark, sf, "supplier")
+    part = load(spark, sf, "part").select(F.col("p_partkey").alias("c_custkey"))
+    home = part.join(customer.select("c_custkey", "c_nationkey"), "c_custkey")
+    ends = [
+        home.select(_named("part.", "c_custkey").alias("from_qualified"), _named("nation.", "c_nationkey").alias("to_qualified")),
+        supplier.select(_named("supplier.", "s_suppkey").alias("from_qualified"), F.concat(F.lit("supplier."), (F.col("s_suppkey") + 1).cast("string"))),
+        supplier.select(_named("supplier.", "s_suppkey").alias("from_qualified"), _named("customer.", "s_suppkey")),
+    ]
+    asked = reduce(DataFrame.union, ends)
+    return asked.select(F.concat_ws(" to ", "from_qualified", "to_qualified").alias("request_id"), "from_qualified", "to_qualified")
+
+
+def shortest_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of the default depth; some requests have an end that cannot be reached or is not known."""
+    edges = cut(entity_edges(spark, sf), "entity-edges")
+    return _shown_path(path_between(entity_symbols(spark, sf), edges, deep_requests(spark, sf)))
+
+
 def semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = load(spark, sf, "embeddings")
     per_dim = vectors.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -510,6 +534,7 @@ QUERIES: dict[str, Query] = {
     "run_summary": run_summary,
     "shortest_paths": shortest_paths,
     "shortest_cycle": shortest_cycle,
+    "shortest_deep": shortest_deep,
     "semantic_topk": semantic_topk,
     "feed_update": feed_update,
     "feed_batch": feed_batch,

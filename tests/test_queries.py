@@ -11,7 +11,6 @@ from skein.operators.context import file_head, line_context
 from skein.operators.grep import grep, grep_requests
 from skein.operators.semantic import search_semantic
 from skein.operators.shortest_path import path_between
-from skein.operators import shortest_path as path_module
 from skein.operators.summary import file_summary, touches_model
 from skein.operators.symbol_search import display, search_substring, search_symbol
 from skein.operators.usages import find_usages
@@ -210,21 +209,32 @@ def brute_path(edges, names, source, target, depth):
     return best
 
 
-@pytest.mark.parametrize("paired", [8, 0])
-def test_paths_equal_brute_force(spark, monkeypatch, paired):
-    monkeypatch.setattr(path_module, "PAIRED_TARGETS", paired)
-    rng = random.Random(5)
+@pytest.mark.parametrize("seed, n_edges", [(5, 55), (6, 40), (7, 90)])
+def test_paths_equal_brute_force(spark, seed, n_edges):
+    rng = random.Random(seed)
     names = [f"n{i}" for i in range(30)]
-    edges = sorted({(rng.choice(names), rng.choice(names[:25]), rng.choice(["calls", "imports"])) for _ in range(55)})
-    pairs = [(a, b) for a in names[:12] for b in names[:6] + names[24:27]] + [("n1", "lost"), ("lost", "n1")]
+    edges = sorted({(rng.choice(names), rng.choice(names[:25]), rng.choice(["calls", "imports"])) for _ in range(n_edges)})
+    edges += [("n3", "n3", "calls"), ("n3", "n3", "also")]  # the shortest cycle is one edge
+    # a hot source, a hot target, unknown and null ends, an end nothing leads to
+    pairs = [(a, b) for a in names[:8] for b in names[:6] + names[24:27]] + [("n1", b) for b in names] + [(a, "n2") for a in names]
+    pairs = sorted(set(pairs)) + [("n1", "lost"), ("lost", "n1"), (None, "n1"), ("n1", None)]
     asked = spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in pairs], "request_id string, from_qualified string, to_qualified string")
-    table = spark.createDataFrame(edges, "from_qualified string, to_qualified string, relation string")
+    table = spark.createDataFrame(edges, "from_qualified string, to_qualified string, relation string").repartition(3)
     symbols = spark.createDataFrame([(n,) for n in names], "qualified_name string")
-    for depth in (4,) if paired else (1, 3):
+    for depth in (6,) if seed != 5 else (0, 1, 2, 5):
         got = {r.request_id: [tuple(s) for s in r.path] for r in path_between(symbols, table, asked, depth).collect()}
         assert got == {f"{a}-{b}": brute_path(edges, set(names), a, b, depth) for a, b in pairs}
 
 
+def test_long_chain_is_searched_from_both_ends(spark):
+    chain = [(f"c{i}", f"c{i + 1}", "calls") for i in range(12)]
+    table = spark.createDataFrame(chain, "from_qualified string, to_qualified string, relation string")
+    symbols = spark.createDataFrame([(f"c{i}",) for i in range(13)], "qualified_name string")
+    asked = spark.createDataFrame([("ten", "c0", "c10"), ("eleven", "c0", "c11"), ("back", "c3", "c0")], "request_id string, from_qualified string, to_qualified string")
+    got = {r.request_id: [s.symbol for s in r.path] for r in path_between(symbols, table, asked, 10).collect()}
+    assert got == {"ten": [f"c{i}" for i in range(1, 11)], "eleven": [], "back": []}
+
+
 def test_semantic_equals_numpy(spark, monkeypatch):
     from skein.operators import semantic
 
