@@ -35,6 +35,14 @@ def line_count(text: Column, line_end: str = NEWLINE) -> Column:
     return F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
 
 
+def line_blocks(text: Column, size: int) -> Column:
+    """``text`` cut after every ``size`` lines, whichever of ``TEXT_MODE_NEWLINE`` ends them; an empty text has no block."""
+    ended = F.when(text.rlike(r"[\r\n]\z"), text).otherwise(F.concat(text, F.lit("\n")))
+    # possessive, so a line of any length is matched without going back
+    blocks = F.regexp_extract_all(ended, F.lit(r"(?:[^\r\n]*+(?:\r\n?+|\n)){1,%d}+" % size), F.lit(0))
+    return F.when(text != "", blocks)
+
+
 def decode_utf8(content: Column) -> Column:
     """Bytes to text; each malformed sequence becomes the replacement character."""
     return F.make_valid_utf8(content.cast("string"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import TEXT_MODE_NEWLINE, line_count, right_strip, split_lines, strip
+from skein.functions.text import TEXT_MODE_NEWLINE, line_blocks, line_count, right_strip, split_lines, strip
 from skein.session import cut, semi_join_by_size
 
-# Lines are matched to requests block by block, so a file with many requests spreads over tasks.
+# Texts are cut into blocks of so many lines, and blocks are matched to requests; a file with many requests spreads over tasks.
 BLOCK = 64
 
 
@@ -49,18 +49,16 @@ def line_context(files: DataFrame, requests: DataFrame, radius: int = 30) -> Dat
         "last",
         F.explode(F.sequence(_block(F.col("first")), _block(F.col("last")))).alias("block"),
     )
-    lines = asked.select(
-        "file_path", F.posexplode(split_lines(F.col("text"), TEXT_MODE_NEWLINE)).alias("pos", "line")
-    ).withColumn("line_no", F.col("pos") + 1)
-    lines = lines.withColumn("block", _block(F.col("line_no")))
-    shown = F.concat(F.col("line_no").cast("string"), F.lit(": "), right_strip(F.col("line")))
-    pieces = (
-        lines.join(wanted, ["file_path", "block"])
-        .filter(F.col("line_no").between(F.col("first"), F.col("last")))
-        .select("request_id", "line_no", shown.alias("shown"))
-    )
-    # a group is at most 2 * radius + 1 lines of one file
-    joined = pieces.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "shown"))).alias("all"))
+    # one row per block of lines, and only the blocks that are asked for reach the join
+    blocks = asked.select("file_path", F.posexplode(line_blocks(F.col("text"), BLOCK)).alias("block", "lines"))
+    before = (F.col("block") * BLOCK).cast("int")
+    skipped = F.greatest(F.lit(0), (F.col("first") - 1).cast("int") - before)
+    number = before + skipped + 1
+    inside = F.slice(split_lines(F.col("lines"), TEXT_MODE_NEWLINE), skipped + 1, F.least(F.lit(BLOCK), F.col("last").cast("int") - before) - skipped)
+    shown = F.transform(inside, lambda line, i: F.concat((number + i).cast("string"), F.lit(": "), right_strip(line)))
+    pieces = blocks.join(wanted, ["file_path", "block"]).select("request_id", "block", F.array_join(shown, "\n").alias("shown"))
+    # a group is at most the blocks of 2 * radius + 1 lines of one file
+    joined = pieces.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("block", "shown"))).alias("all"))
     texts = joined.select("request_id", F.array_join(F.col("all.shown"), "\n").alias("context"))
     error = F.concat(F.lit("Error reading file: "), _missing(F.col("file_path")))
     return placed.join(texts, "request_id", "left").select(

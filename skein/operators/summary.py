@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.paths import extension
+from skein.functions.skew import salted_join
 from skein.session import cut, semi_join_by_size
 
 # The kinds a file summary lists, and the list each one goes to.
@@ -38,11 +39,12 @@ def touches_model(symbols: DataFrame, edges: DataFrame, requests: DataFrame) ->
     """What points at the models named in ``requests`` (``request_id, model_name``), by bucket.
 
     Views go to ``views``; other users by relation to ``admin``, ``signals`` or ``references``.
-    One row per user and relation: ``request_id, bucket, qualified_name, relation``.
+    One row per user and relation: ``request_id, bucket, qualified_name, relation``. A model with a large
+    share of all edges is spread over tasks.
     """
     names = requests.select(F.col("model_name").alias("name")).distinct()
     models = symbols.filter(F.col("kind") == "model").join(names, "name", "left_semi")
-    models = models.select("name", F.col("qualified_name").alias("to_qualified"))
+    models = cut(models.select("name", F.col("qualified_name").alias("to_qualified")), "models")
     users = symbols.select(F.col("qualified_name").alias("from_qualified"), F.col("kind").alias("user_kind"))
     bucket = (
         F.when(F.col("user_kind") == "view", "views")
@@ -50,14 +52,15 @@ def touches_model(symbols: DataFrame, edges: DataFrame, requests: DataFrame) ->
         .when(F.col("relation") == "handles_signal", "signals")
         .otherwise("references")
     )
+    into = edges.select("from_qualified", "to_qualified", "relation")
     touching = (
-        edges.join(models, "to_qualified")
+        salted_join(into, models, "to_qualified")
         .join(users, "from_qualified")
         .select("name", bucket.alias("bucket"), F.col("from_qualified").alias("qualified_name"), "relation")
         .distinct()
     )
     asked = requests.select("request_id", F.col("model_name").alias("name"))
-    return asked.join(touching, "name").select("request_id", "bucket", "qualified_name", "relation")
+    return salted_join(cut(touching, "model-users"), asked, "name").select("request_id", "bucket", "qualified_name", "relation")
 
 
 def graph_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

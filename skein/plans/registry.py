@@ -172,7 +172,7 @@ def head_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def touched_models(spark: SparkSession, sf: str) -> DataFrame:
     asked = load(spark, sf, "nation").select(F.col("n_name").alias("request_id"), F.col("n_name").alias("model_name"))
-    return touches_model(entity_symbols(spark, sf), entity_edges(spark, sf), asked)
+    return touches_model(entity_symbols(spark, sf), cut(entity_edges(spark, sf), "entity-edges"), asked)
 
 
 def stats(spark: SparkSession, sf: str) -> DataFrame:

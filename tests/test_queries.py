@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from skein.functions.skew import hot_keys, salted_join
 from skein.operators import grep as grep_module
 from skein.operators import multi_search
 from skein.operators.context import file_head, line_context
@@ -153,6 +155,36 @@ def test_line_context(spark):
     assert got["lost"] == "Error reading file: [Errno 2] No such file or directory: 'g'"
 
 
+def test_context_of_long_files(spark):
+    rng = random.Random(9)
+    texts = {f"t{k}": "".join(rng.choice(["", "a b ", "x" * 300]) + rng.choice(["\n", "\r\n", "\r", "\n\r", "\x0b"]) for _ in range(rng.randint(120, 400))) for k in range(4)}
+    texts |= {"long": "y" * 2_000_000 + "\n" + "z", "blank": "\n" * 200, "one": "\r"}
+    asked = [(f"{p}.{line}.{r}", p, line, r) for p in texts for line, r in [(1, 0), (63, 1), (64, 0), (65, 64), (128, 3), (190, 70), (64, 2**31 - 1)]]
+    files = spark.createDataFrame(list(texts.items()), "file_path string, text string")
+    requests = spark.createDataFrame(asked, "request_id string, file_path string, line int, radius int")
+    got = {r.request_id: r.context for r in line_context(files, requests).collect()}
+    for request, path, line, radius in asked:
+        assert got[request] == brute_context(texts[path], line, radius), request
+
+
+def test_salted_join_spreads_a_hot_key(spark):
+    rows = [("hot", i) for i in range(6000)] + [(f"k{i % 2000}", i) for i in range(6000)] + [(None, 1)]
+    big = spark.createDataFrame(rows, "k string, v int").repartition(6)
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k7", 3), ("gone", 4), (None, 5)], "k string, w int")
+    assert hot_keys(big, "k") == ["hot"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = salted_join(big, few, "k")
+        assert sorted(map(tuple, met.select("k", "v", "w").collect())) == sorted((k, v, w) for k, v in rows for j, w in [("hot", 1), ("hot", 2), ("k7", 3)] if j == k)
+        loads = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(loads) == 4 and max(loads) < 0.5 * sum(loads)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert hot_keys(big.limit(0), "k") == [] and salted_join(big.limit(0), few, "k").count() == 0
+
+
 def test_file_head(spark):
     files = spark.createDataFrame([("five", " a\nb\n\nd\n e"), ("four", "a\nb\nc\nd\n"), ("known", "x")], "file_path string, text string")
     indexed = spark.createDataFrame([("known",)], "file_path string")
