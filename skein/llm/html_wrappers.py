@@ -6,8 +6,8 @@ becomes optional, and text that differs between pages becomes a slot. Below one
 an expression grows with the kinds of elements of a host, not with its pages.
 
 Aligning is a merge of two expressions. Each task merges its own pages by host, salted parts of a host are merged next and
-then the host's few parts, so no task ever sees all pages of a host. Articles and main elements are taken page by page; for pages with neither,
-the expression says which element holds the text, and a join by host takes that back to the pages.
+then the host's few parts, so no task ever sees all pages of a host. A join by host takes back to the pages what the expression says: which element
+holds the text of pages without article and main element, and which elements are template, the same wherever they occur beside text that varies.
 """
 
 from __future__ import annotations
@@ -20,15 +20,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.page_tree import Node, at_paths, blocks, outermost, parse
+from skein.llm.page_tree import Node, at_paths, blocks, cut_paths, outermost, parse
 from skein.session import cut
 
 SALTS = 256
 _HOSTS_AT_ONCE = 20_000
+# An element is template when this many pages of its host have it with one text.
+TEMPLATE_PAGES = 8
 
 # An expression is a list: name, boilerplate, pages, repeated, starts over with its neighbours, characters, link characters, text (its hash above
-# 200 characters) or null for a slot, children, characters outside links on pages without article or main.
-NAME, BOILERPLATE, PAGES, REPEATED, GROUPED, CHARS, LINKS, TEXT, KIDS, PLAIN = range(10)
+# 200 characters) or null for a slot, children, characters outside links on pages without article or main, hash of all text inside or null where that varies.
+NAME, BOILERPLATE, PAGES, REPEATED, GROUPED, CHARS, LINKS, TEXT, KIDS, PLAIN, WHOLE = range(11)
 
 
 def of_page(node: Node, plain: bool | None = None) -> list:
@@ -39,10 +41,15 @@ def of_page(node: Node, plain: bool | None = None) -> list:
     texts = [k for k in node.kids if isinstance(k, str)]
     links = [k[0] for k in node.kids if isinstance(k, tuple)]
     text = " ".join(" ".join([*texts, *links]).split())
-    own = [node.name, node.boilerplate, 1, False, False, len(text), sum(map(len, links)), text if len(text) <= 200 else "\0" + xxh3_128_hexdigest(text), [], (len(text) - sum(map(len, links))) * plain]
+    own = [node.name, node.boilerplate, 1, False, False, len(text), sum(map(len, links)), text if len(text) <= 200 else "\0" + xxh3_128_hexdigest(text), [], (len(text) - sum(map(len, links))) * plain, None]
+    inside = [text]
     for kid in node.kids:
         if isinstance(kid, Node):
-            _take(own[KIDS], of_page(kid, plain), 0)
+            new = of_page(kid, plain)
+            if not kid.boilerplate:
+                inside.append(new[WHOLE])
+            _take(own[KIDS], new, 0)
+    own[WHOLE] = xxh3_128_hexdigest("\0".join(inside))
     return own
 
 
@@ -71,6 +78,8 @@ def merge(a: list, b: list, pages: int | None = None) -> list:
     a[PLAIN] += b[PLAIN]
     if a[TEXT] != b[TEXT]:
         a[TEXT] = None
+    if a[WHOLE] != b[WHOLE]:
+        a[WHOLE] = None
     places = {kid[NAME]: i for i, kid in enumerate(a[KIDS])}
     at = 0
     for kid in b[KIDS]:
@@ -136,6 +145,35 @@ def main_paths(own: list) -> list[list[str]]:
         path = [*path, node[NAME]]
 
 
+def _chars(own: list, constant: bool = False) -> tuple[int, int]:
+    """Characters that vary and characters that do not in an element, boilerplate left out."""
+    if own[BOILERPLATE]:
+        return 0, 0
+    constant |= own[WHOLE] is not None
+    parts = [(0, own[CHARS]) if constant or own[TEXT] is not None else (own[CHARS], 0), *(_chars(kid, constant) for kid in own[KIDS])]
+    return sum(p[0] for p in parts), sum(p[1] for p in parts)
+
+
+def template_paths(own: list) -> list[list[str]]:
+    """Names from the top of the outermost elements whose whole text is the same on all the pages that have them, ``TEMPLATE_PAGES`` or more.
+
+    Text is template only beside text that varies: the element around it has more characters that vary than others, so pages
+    that are copies of each other have no template. A ``h1`` is never one: parts or versions of an article share its title.
+    """
+    out: list[list[str]] = []
+    todo: list[tuple[list[str], list]] = [([], own)]
+    while todo:
+        path, node = todo.pop()
+        varying, same = _chars(node)
+        for kid in node[KIDS]:
+            here = [*path, kid[NAME]]
+            if kid[WHOLE] is None:
+                todo += [] if kid[BOILERPLATE] else [(here, kid)]
+            elif varying > same and any(_chars(kid)) and kid[PAGES] >= TEMPLATE_PAGES and kid[NAME].split(".")[0] != "h1":
+                out.append(here)
+    return sorted(out)
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host with port of a URL; empty where there is none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
@@ -200,22 +238,24 @@ def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 def _rules(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [json.loads(w) for w in batch.column(1).to_pylist()]
-        columns = [batch.column(0), pa.array([main_paths(w) for w in found], pa.list_(pa.list_(pa.string()))), pa.array([expression(w) for w in found], pa.string())]
-        yield pa.record_batch(columns, ["host", "paths", "expression"])
+        names = pa.list_(pa.list_(pa.string()))
+        columns = [batch.column(0), pa.array([main_paths(w) for w in found], names), pa.array([template_paths(w) for w in found], names), pa.array([expression(w) for w in found], pa.string())]
+        yield pa.record_batch(columns, ["host", "paths", "template", "expression"])
 
 
-def main_text(page: str, paths: list[list[str]]) -> str:
+def main_text(page: str, paths: list[list[str]], template: list[list[str]] = []) -> str:
     """The main text of one page: the blocks of its outermost articles, else of its main elements, else of the elements at ``paths``, else of
-    the element that ``main_paths`` finds on the page alone."""
+    the element that ``main_paths`` finds on the page alone; without the elements at ``template`` paths."""
     root = parse(page)
+    cut_paths(root, template)
     found = outermost(root, "article") or outermost(root, "main") or at_paths(root, paths) or at_paths(root, main_paths(of_page(root)))
     return "\n".join(blocks(found))
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, paths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        texts = [main_text(page, p or []) for page, p in zip(pages, paths)]
+        pages, paths, templates = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        texts = [main_text(page, p or [], t or []) for page, p, t in zip(pages, paths, templates)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -226,11 +266,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     give an empty text. Pages without a host in their URL, nulls included, are one host. Rows that repeat an id are read each; an
     empty table gives no rows; other columns are ignored.
     """
-    rules = cut(host_wrappers(pages, url_col, html_col).mapInArrow(_rules, "host string, paths array<array<string>>, expression string"), "wrappers")
+    rules = cut(host_wrappers(pages, url_col, html_col).mapInArrow(_rules, "host string, paths array<array<string>>, template array<array<string>>, expression string"), "wrappers")
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"),
     )
-    joined = rows.join(rules.select("host", "paths"), "host", "left").select("page_id", "url", "html", "paths")
+    joined = rows.join(rules.select("host", "paths", "template"), "host", "left").select("page_id", "url", "html", "paths", "template")
     kind = pages.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string")

@@ -276,3 +276,21 @@ def at_paths(root: Node, paths: list[list[str]]) -> list[Node]:
                 kid.boilerplate = False
                 todo.append(((*path, kid.name), kid))
     return out
+
+
+def cut_paths(root: Node, paths: list[list[str]]) -> None:
+    """Mark the elements of a page whose names from the top are one of ``paths`` as boilerplate."""
+    ways: dict = {}
+    for path in paths:
+        at = ways
+        for name in path:
+            at = at.setdefault(name, {})
+    todo = [(ways, root)]
+    while todo:
+        at, node = todo.pop()
+        for kid in node.kids:
+            if isinstance(kid, Node) and kid.name in at:
+                if at[kid.name]:
+                    todo.append((at[kid.name], kid))
+                else:
+                    kid.boilerplate = True

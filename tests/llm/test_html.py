@@ -7,7 +7,7 @@ import json
 import random
 import re
 
-from skein.llm.html_wrappers import extract_main_text, expression, host_of, host_wrappers, main_paths, main_text, merge, of_page
+from skein.llm.html_wrappers import extract_main_text, expression, host_of, host_wrappers, main_paths, main_text, merge, of_page, template_paths
 from skein.llm.page_tree import blocks, parse
 from skein.llm.queries import QUERIES
 from tests.llm.helpers import SF, plain
@@ -154,3 +154,50 @@ def test_words_never_cut_running_text():
     text = main_text(page, [])
     assert "How login works" in text and "Search trees." in text and "Kept." in text
     assert not any(word in text for word in ("menu", "legal", "first!", "read on"))
+
+
+def cut_by_host(pages: list[str]) -> list[str]:
+    own = wrapper(*pages)
+    return [main_text(page, main_paths(own), template_paths(own)) for page in pages]
+
+
+def templates(i: int) -> dict[str, tuple[str, list[str]]]:
+    """Page ``i`` of five templates with its main text; what is cut has no listed class, so that only the host's expression can tell."""
+    body = [f"Title {i}", f"First paragraph of {i} " + "word " * (i % 5 + 3), f"Second one, {i * 7}"]
+    h, a, b = body
+    return {
+        "article": (f"<body><article><h1>{h}</h1><p>{a}</p><p>{b}</p><div class=legal>All rights reserved by us.</div></article></body>", body),
+        "main": (f"<body><main><div class=kicker>The daily paper</div><h1>{h}</h1><div class=t><p>{a}<p>{b}</div></main><div class=x>Contact</div></body>", body),
+        "plain": (f"<body><div class=top>Site</div><div class=c><h1>{h}</h1><p>{a}</p><p>{b}</p><div class=box><p>Get our app</p><p>Now</p></div></div></body>", body),
+        "table": (f"<body><table><tr><td class=l>Links<td class=r><h2>{h}</h2><p>{a}</p><p>{b}</p><p class=end>The end.</p></table></body>", body),
+        "optional": (
+            f"<body><article><h1>{h}</h1>" + ("<section class=hint><h3>Hint</h3><p>Sign in to read more</p></section>" if i % 2 else "") + f"<p>{a}</p><p>{b}</p></article></body>",
+            body,
+        ),
+    }
+
+
+def test_what_is_constant_over_a_host_is_template():
+    for kind in templates(0):
+        made = [templates(i)[kind] for i in range(24)]
+        got = cut_by_host([page for page, _ in made])
+        for text_, (_, blocks_) in zip(got, made):
+            assert text_.split("\n") == [" ".join(b.split()) for b in blocks_], kind
+
+
+def test_copies_and_small_hosts_have_no_template():
+    page = "<body><article><h1>One title</h1><p>%s</p><div class=note>Same note</div></article></body>"
+    assert cut_by_host([page % "the same text"] * 30) == ["One title\nthe same text\nSame note"] * 30
+    few = cut_by_host([page % f"text number {i}" for i in range(7)])
+    assert few == [f"One title\ntext number {i}\nSame note" for i in range(7)]
+    short = cut_by_host([page % f"text number {i}" for i in range(8)])  # more characters that are the same than others
+    assert short == [f"One title\ntext number {i}\nSame note" for i in range(8)]
+    many = cut_by_host([page % f"a longer text number {i}" for i in range(8)])
+    assert many == [f"One title\na longer text number {i}" for i in range(8)]  # the note goes, a shared title stays
+
+
+def test_template_is_cut_in_the_query_too(spark):
+    rows = [(i, f"http://{kind}.org/{i}", page, blocks_) for kind in templates(0) for i in range(16) for page, blocks_ in [templates(i)[kind]]]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id int, url string, html string").repartition(4)
+    want = [(i, url, "\n".join(" ".join(b.split()) for b in blocks_)) for i, url, _, blocks_ in rows]
+    assert plain(extract_main_text(df)) == sorted(want, key=repr)
