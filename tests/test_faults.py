@@ -52,7 +52,8 @@ def test_a_replayed_batch_is_skipped(spark, tmp_path):
 
 
 def test_queries_with_one_id_all_get_answers(spark, monkeypatch):
-    monkeypatch.setattr(semantic, "QUERIES_PER_PASS", 2)
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(semantic, "VECTOR_BLOCK", 200)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)

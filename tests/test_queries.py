@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,7 +271,8 @@ def test_long_chain_is_searched_from_both_ends(spark):
 def test_semantic_equals_numpy(spark, monkeypatch):
     from skein.operators import semantic
 
-    monkeypatch.setattr(semantic, "QUERIES_PER_PASS", 2)
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(semantic, "VECTOR_BLOCK", 200)
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(300, 8)).astype("float32")
     vectors[10:40] = vectors[5]  # ties
@@ -285,3 +287,39 @@ def test_semantic_equals_numpy(spark, monkeypatch):
         order = [j for j in sorted(range(300), key=lambda j: (-scores[j], j)) if j != 50][:7]
         assert [r.vec_id for r in sorted((r for r in got if r.request_id == f"q{i}"), key=lambda r: r["rank"])] == order
     assert search_semantic(table, asked, 0).count() == 0
+
+
+def test_semantic_blocks_and_tiles_keep_ties_in_order(spark, monkeypatch):
+    from skein.operators import semantic
+
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-1, 2, (500, 3)).astype(float)  # few directions: most scores are ties
+    queries = rng.integers(-2, 3, (30, 3)).astype(float)
+    score = semantic._block_product(6)
+    names = ["query", "vec_id", "score"]
+    unit = [v / np.linalg.norm(v) if v.any() else None for v in vectors]
+    for tile in ((512, 4096), (7, 5), (1, 500)):
+        monkeypatch.setattr(semantic, "_TILE", tile)
+        shuffled = rng.permutation(500)
+        table = pa.table({"vec_id": pa.array(shuffled), "embedding": pa.array(vectors[shuffled].tolist(), pa.list_(pa.float64()))})
+        asked = pa.table({"query": pa.array(range(30)), "embedding": pa.array(queries.tolist(), pa.list_(pa.float64()))})
+        got = score(asked, table)
+        assert got.column_names == names
+        found: dict[int, list] = {}
+        for row in got.to_pylist():
+            found.setdefault(row["query"], []).append((row["vec_id"], row["score"]))
+        for i, q in enumerate(queries):
+            if not q.any():
+                assert i not in found
+                continue
+            scores = {j: round(float(u @ (q / np.linalg.norm(q))), 9) for j, u in enumerate(unit) if u is not None}
+            assert [j for j, _ in found[i]] == sorted(scores, key=lambda j: (-scores[j], j))[:6]
+    assert score(asked.slice(0, 0), table).num_rows == score(asked, table.slice(0, 0)).num_rows == 0
+
+
+def test_semantic_odd_rows(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (None, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "vec_id int, embedding array<double>")
+    asked = spark.createDataFrame([("a", [2.0, 0.0], 0), ("z", [0.0, 0.0], 0), (None, [0.0, 1.0], 1), ("n", None, 2)], "request_id string, embedding array<float>, block int")
+    got = [(r.request_id, r.vec_id, r.score, r["rank"]) for r in search_semantic(table, asked, 3).collect()]
+    assert sorted(got, key=repr) == sorted([("a", 1, 1.0, 1), ("a", 1, 1.0, 2), ("a", 4, -1.0, 3), (None, 1, 0.0, 1), (None, 1, 0.0, 2), (None, 4, 0.0, 3)], key=repr)
+    assert search_semantic(table.limit(0), asked).count() == search_semantic(table, asked.limit(0)).count() == 0
