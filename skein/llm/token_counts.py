@@ -16,10 +16,9 @@ from skein.llm.common import arrow_batches, id_and_text, schema
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-
-
 # Bytes of the longest words that go into the trie.
 LONG_WORD = 1000
+NO_END = object()
 
 
 class Unigram:
@@ -28,11 +27,9 @@ class Unigram:
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        # by last character, the lengths that pieces have
-        lengths: dict[str, set[int]] = {}
-        for piece in scores:
-            lengths.setdefault(piece[-1], set()).add(len(piece))
-        self.lengths = {last: tuple(sorted(found)) for last, found in lengths.items()}
+        # every end of a piece, with the score of those that are pieces: what is not in here ends no longer piece either
+        self.ends: dict[str, float | None] = {piece[at:]: None for piece in scores for at in range(1, len(piece))}
+        self.ends.update(scores)
 
     @classmethod
     def from_vocabulary(cls, model: str) -> Unigram:
@@ -48,20 +45,19 @@ class Unigram:
         total = math.log(sum(1 / rank for rank in range(1, len(ordinary) + 1)))
         return cls({piece: -math.log(rank) - total for rank, piece in enumerate(ordinary, 1)})
 
-
     def count(self, word: str) -> int:
         """The tokens that ``Trie.insert`` finds, with no more memory than the longest piece needs."""
-        reach = max((lengths[-1] for lengths in self.lengths.values()), default=1) + 1
+        reach = max(map(len, self.ends), default=1) + 1
         score, tokens = [0.0] * reach, [0] * reach
         for end, char in enumerate(word, 1):
             last = (end - 1) % reach
             best, fewest = score[last] + self.unknown, tokens[last] + len(char.encode())
-            for length in self.lengths.get(char, ()):
-                if length > end:
+            for start in range(end - 1, -1, -1):
+                piece = self.ends.get(word[start:end], NO_END)
+                if piece is NO_END:
                     break
-                piece = self.scores.get(word[end - length : end])
                 if piece is not None:
-                    before = (end - length) % reach
+                    before = start % reach
                     total, n = score[before] + piece, tokens[before] + 1
                     if total > best or total == best and n < fewest:
                         best, fewest = total, n
@@ -90,12 +86,12 @@ class Trie:
             node = children.get((parent, char))
             if node is None:
                 best, fewest = score[parent] + model.unknown, tokens[parent] + len(char.encode())
-                for length in model.lengths.get(char, ()):
-                    if length > end:
+                for start in range(end - 1, -1, -1):
+                    piece = model.ends.get(word[start:end], NO_END)
+                    if piece is NO_END:
                         break
-                    piece = model.scores.get(word[end - length : end])
                     if piece is not None:
-                        before = path[end - length]
+                        before = path[start]
                         total, n = score[before] + piece, tokens[before] + 1
                         if total > best or total == best and n < fewest:
                             best, fewest = total, n
