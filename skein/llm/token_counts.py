@@ -108,7 +108,7 @@ class CountTable(dict):
     Words of more than ``LONG_WORD`` bytes share no prefix worth keeping: they are counted one by one and not kept.
     """
 
-    def __init__(self, model: Unigram, limit: int = 400_000) -> None:
+    def __init__(self, model: Unigram, limit: int = 1_000_000) -> None:
         super().__init__()
         self.limit = limit
         self.trie = Trie(model)
