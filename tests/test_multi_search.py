@@ -9,7 +9,7 @@ import pytest
 
 from skein.functions.patterns import basic_to_java
 from skein.operators.grep import grep, grep_requests
-from skein.operators.multi_search import Held, Matcher, literal_of, required_literal
+from skein.operators.multi_search import Held, Matcher, _Page, _search, literal_of, read_expression, required_literal
 from skein.operators.name_index import name_grams
 from skein.operators.symbol_search import search_substring
 from skein.schemas import SYMBOLS, conform
@@ -108,3 +108,64 @@ def test_substring_equals_brute_force(spark, published, limit):
         body = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in a.lower())
         want = sorted(q for n, q, k, *_ in rows if n is not None and re.search(body, n.lower(), re.S) and (kind is None or k == kind))
         assert sorted(r.qualified_name for r in got if r.request_id == request) == want[:limit], request
+
+
+def test_expressions_are_read_as_spark_does(spark):
+    """What Python decides is what Java's engine decides; anything doubtful is left to it."""
+    rng = random.Random(8)
+    parts = ["a", "b", "é", " ", ".", "[ab]", "[^a]", "[a-c,]", "a*", "b+", "c?", "(ab)", "(ab)*", r"\.", r"\ ", "c{2}", "b{0,1}", r"\w", r"\s*", r"\d", r"[\p{Upper}]", r"[\]-]", r"[\p{Punct}b]+"]
+    patterns = sorted({rng.choice(["", "^", "(?d)", "(?d)^"]) + "".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) + rng.choice(["", "", "$"]) for _ in range(250)})
+    lines = ["".join(rng.choice("abcé. A1]-\u2028\r") for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    read = {p: read_expression(p) for p in patterns}
+    assert sum(r is not None for r in read.values()) > 150
+    pairs = [(p, line) for p, r in read.items() if r for line in lines]
+    by_java = spark.createDataFrame(pairs, "pattern string, line string").selectExpr("line rlike pattern").collect()
+    for (p, line), (want,) in zip(pairs, by_java):
+        r = read[p]
+        assert bool((re.match if r.anchored else re.search)(r.expression, line, re.ASCII)) == want, (p, line)
+        assert not want or any(line.startswith(s) if r.anchored else s in line for s in r.starts), (p, line)
+        assert not r.certain or want == any(line.startswith(s) if r.anchored else s in line for s in r.starts), (p, line)
+    for p in (r"\bab", "a|b", "(?i)a", "a*?", "a*+", r"\Qa\E", "[a&&b]", "[a[b]]", "a$b", "x^", "$", "(", "[b-a]", r"(a)\1"):
+        assert read_expression(p) is None, p
+
+
+class Given:
+    number = 0
+
+    def __init__(self, value):
+        self.value = value
+
+    __hash__ = object.__hash__
+
+
+def searched(patterns, files, most, size=10_000):
+    """Rows that one task gives out."""
+    import pyarrow as pa
+
+    table = pa.table({"file_path": [f[0] for f in files], "text": [f[1] for f in files]}, pa.schema([("file_path", pa.string()), ("text", pa.string())]))
+    page = Given([(p, *literal_of(p, "basic")) for p in patterns])
+    return [row for batch in _search(page, most)(table.to_batches(size)) for row in batch.to_pylist()]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_a_task_gives_out_the_first_places_of_an_expression(most):
+    rng = random.Random(3)
+    files = [(f"f{i:03}", "\n".join(" ".join(rng.choice(["get", "set,", "set;", "user"]) for _ in range(6)) for _ in range(5))) for i in range(300)]
+    rng.shuffle(files)
+    files.append((None, "get\nset, x"))
+    patterns = ["^get ", "set[,;] [a-z]*", "user", "get", "^[gs]et", "r get", "nothing[,;]"]
+    for size in (1000, 64):
+        rows = searched(patterns, files, most, size)
+        assert len(rows) <= most * len(patterns)
+        assert all(r["regex"] is None for r in rows)
+        for p in patterns:
+            want = sorted((f or "", n + 1) for f, text in files for n, line in enumerate(text.split("\n")) if re.search(p, line))
+            assert sorted((r["file_path"] or "", r["line_start"]) for r in rows if r["pattern"] == p) == want[:most], p
+
+
+def test_patterns_that_have_their_places_leave_the_walk(monkeypatch):
+    walked = []
+    monkeypatch.setattr(Matcher, "only", lambda self, ids, only=Matcher.only: walked.append(len(ids)) or only(self, ids))
+    files = [(f"f{i:03}", "one two three four\nfive six") for i in range(200)]
+    rows = searched(["one", "two", "three", "four", "five", "six", "none"], files, 2)
+    assert len(rows) == 12 and walked and min(walked) == 1
