@@ -13,6 +13,7 @@ from skein.operators import multi_search
 from skein.operators.context import file_head, line_context
 from skein.operators.grep import grep, grep_requests
 from skein.operators.semantic import search_semantic
+from skein.operators import shortest_path
 from skein.operators.shortest_path import path_between
 from skein.operators.summary import file_summary, touches_model
 from skein.operators.symbol_search import display, search_substring, search_symbol
@@ -268,6 +269,26 @@ def test_long_chain_is_searched_from_both_ends(spark):
     assert got == {"ten": [f"c{i}" for i in range(1, 11)], "eleven": [], "back": []}
 
 
+def test_edges_off_every_path_take_no_part(spark, monkeypatch):
+    """Nothing leads to the buyers of a hub, so no level of the search holds them; a frontier counts by the edges ahead of it."""
+    edges = [("a", "hub", None), ("a", "hub", "calls"), ("hub", "b", "calls"), ("b", "c", "calls")] + [(f"buyer{i}", "hub", "calls") for i in range(50)]
+    edges += [("a", f"dead{i}", "calls") for i in range(50)]
+    sizes, write = {}, shortest_path.cut
+
+    def counted(df, label):
+        table = write(df, label)
+        sizes.setdefault(label, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(shortest_path, "cut", counted)
+    names = sorted({n for f, t, _ in edges for n in (f, t)})
+    asked = spark.createDataFrame([("r", "a", "c")], "request_id string, from_qualified string, to_qualified string")
+    table = spark.createDataFrame(edges, "from_qualified string, to_qualified string, relation string")
+    found = path_between(spark.createDataFrame([(n,) for n in names], "qualified_name string"), table, asked).collect()
+    assert [tuple(s) for s in found[0].path] == [("hub", None), ("b", "calls"), ("c", "calls")]
+    assert max(sizes["path-forward"] + sizes["path-backward"]) <= 2
+
+
 def test_semantic_equals_numpy(spark, monkeypatch):
     from skein.operators import semantic
 
