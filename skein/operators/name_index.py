@@ -3,7 +3,8 @@
 A posting says that a (name, kind) holds a gram: one to three neighbouring characters of the lower-cased name. It carries the first qualified name of that pair, so the
 matches of a request can be cut to its limit before any symbol is looked up. A request reads the posting list of its rarest gram and verifies what is there.
 
-Postings can be published with an index; without them they are made from the symbols, for the grams that the requests ask for.
+Postings can be published with an index; without them they are made from the symbols, for the grams that the requests ask for. Made ones hold longer grams
+too, of 6, 12, 24 and 48 characters, for the first and the last of which a long request asks: numbered names share all their short grams with many others.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.answers import ranked
+from skein.functions.membership import bits_for, may_be_in, membership
 from skein.session import cut, fits_broadcast
 from skein.sources.store import Change
 
 GRAM = 3
+# Lengths of grams that are made for long requests; of published ones the longest is GRAM.
+LONG_GRAMS = (6, 12, 24, 48)
 
 
 def grams(text: Column, length: int) -> Column:
@@ -54,10 +58,24 @@ def _like(text: Column, pattern: Column) -> Column:
     return F.like(text, F.concat(F.lit("%"), body, F.lit("%")), F.lit("\x01"))
 
 
-def _gram_of(runs: Column) -> Column:
-    """What to look up for a request: the grams of its runs without wildcards, of three characters if a run is so long, else of the longest run."""
+def _long_grams(runs: Column, longest: Column) -> Column:
+    """The first and the last gram of the longest run, as long as a made gram can be; null if the run is too short for one."""
+    run = F.element_at(F.filter(runs, lambda r: F.char_length(r) == longest), 1)
+
+    def ends(n: int) -> Column:
+        return F.array(F.substring(run, F.lit(1), F.lit(n)), F.substring(run, longest - (n - 1), F.lit(n)))
+
+    return F.coalesce(*[F.when(longest >= n, ends(n)) for n in sorted(LONG_GRAMS, reverse=True)])
+
+
+def _gram_of(runs: Column, long: bool) -> Column:
+    """What to look up for a request: the grams of its runs without wildcards, of three characters if a run is so long, else of the longest run.
+
+    With ``long`` a run of six characters or more is looked up by two longer grams.
+    """
     longest = F.array_max(F.transform(runs, F.char_length))
-    of_length = [F.when(longest >= GRAM if n == GRAM else longest == n, F.flatten(F.transform(runs, lambda run: grams(run, n)))) for n in range(GRAM, 0, -1)]  # noqa: B023
+    of_length = [_long_grams(runs, longest)] if long else []
+    of_length += [F.when(longest >= GRAM if n == GRAM else longest == n, F.flatten(F.transform(runs, lambda run: grams(run, n)))) for n in range(GRAM, 0, -1)]  # noqa: B023
     return F.array_distinct(F.coalesce(*of_length, F.array().cast("array<string>")))
 
 
@@ -74,7 +92,7 @@ def matching_names(
     """
     lowered = F.lower("asked")
     runs = F.split(lowered, "[%_]", -1) if wildcards else F.array(lowered)
-    wanted = wanted.withColumns({"grams": _gram_of(runs), "wild": F.rlike("asked", F.lit("[%_]")) if wildcards else F.lit(False)})
+    wanted = wanted.withColumns({"grams": _gram_of(runs, postings is None), "wild": F.rlike("asked", F.lit("[%_]")) if wildcards else F.lit(False)})
     wanted = cut(wanted, "substring-requests")
     by_gram = _by_rarest(symbols, wanted, postings)
 
@@ -92,12 +110,25 @@ def matching_names(
     return ranked(found, ["asked", "req_kind"], ["first_qualified", "name", "kind"], limit).select("asked", "req_kind", "name", "kind")
 
 
+def _made_grams(symbols: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """The posting lists of ``looked_up(gram)``, and a few others: only grams of the lengths asked for are made, and a bitmap stops most that nobody asks for."""
+    asked = looked_up.groupBy(F.char_length("gram").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
+    lengths = sorted(row["length"] for row in asked)
+    if not lengths:
+        return name_grams(symbols).limit(0)
+    bits = bits_for(sum(row["n"] for row in asked))
+    pairs = named(symbols.filter(F.isnotnull("name")))
+    made = F.concat(*[grams(F.lower("name"), n) for n in lengths])
+    lists = pairs.select(F.explode(made).alias("gram"), "name", "kind", "first_qualified")
+    return may_be_in(lists, "gram", membership(looked_up, "gram", bits), bits)
+
+
 def _by_rarest(symbols: DataFrame, wanted: DataFrame, postings: DataFrame | None) -> DataFrame:
     asked = wanted.select("asked", F.explode("grams").alias("gram")).distinct()
     looked_up = cut(asked.select("gram").distinct(), "asked-grams")
     near = F.broadcast(looked_up) if fits_broadcast(looked_up) else looked_up
     if postings is None:
-        lists = cut(name_grams(symbols).join(near, "gram", "left_semi"), "postings")
+        lists = cut(_made_grams(symbols, looked_up).join(near, "gram", "left_semi"), "postings")
     else:
         lists = postings.join(near, "gram", "left_semi")
     sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ import pytest
 
 from skein.functions.patterns import basic_to_java
 from skein.operators.grep import grep, grep_requests
+from skein.operators import name_index
 from skein.operators.multi_search import Held, Matcher, _Page, _search, literal_of, read_expression, required_literal
 from skein.operators.name_index import name_grams
 from skein.operators.symbol_search import search_substring
@@ -90,6 +91,33 @@ def test_requests_equal_single_searches(spark, limit):
         assert re.search(basic_to_java(r.request_id).removeprefix("(?d)"), r.match_text)
 
 
+def test_numbered_names_are_looked_up_by_long_grams(spark, monkeypatch):
+    """Requests for names that share all short grams read lists of a few names each, not of all."""
+    lists = {}
+    write = name_index.cut
+
+    def kept(df, label):
+        lists[label] = write(df, label)
+        return lists[label]
+
+    monkeypatch.setattr(name_index, "cut", kept)
+    names = [f"Customer#{i:09}" for i in range(2000)] + ["x" * 100 + "Customer#000000007", None]
+    rows = [(n, f"q{i:05}", "view", "f", 1, "s") for i, n in enumerate(names)]
+    symbols = conform(spark.createDataFrame(rows, "name string, qualified_name string, kind string, file_path string, line_start int, summary string"), SYMBOLS)
+    asked = [(n.lower(), n.lower(), None) for n in names[:2000]] + [("%tomer#0000000_7", "%tomer#0000000_7", None), ("x" * 60, "x" * 60, None), ("comer#", "comer#", None)]
+    requests = spark.createDataFrame(asked, "request_id string, name string, kind string")
+    got = {}
+    for row in search_substring(symbols, requests, limit=None).collect():
+        got.setdefault(row.request_id, []).append(row.qualified_name)
+    want = {n.lower(): [f"q{i:05}"] for i, n in enumerate(names[:2000])}
+    want["customer#000000007"] = ["q00007", "q02000"]
+    want["%tomer#0000000_7"] = [f"q{i:05}" for i in range(7, 100, 10)] + ["q02000"]
+    want["x" * 60] = ["q02000"]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    read = lists["rarest-grams"].filter("asked like 'customer%'").join(lists["postings"], "gram").count()
+    assert read < 3 * 2000
+
+
 NAMES = ["get", "get_user", "getXuser", "GetUser", "User", "user", "u", "ab", "a\\b", "100%", "Übung", "", "x_y", None, "\U0001f600ab", "aaaa"]
 
 
