@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.membership import bits_for, may_be_in, membership
 from skein.functions.text import TEXT_MODE_NEWLINE, line_blocks, line_count, right_strip, split_lines, strip
-from skein.session import cut, semi_join_by_size
+from skein.session import cut, fits_broadcast, semi_join_by_size
 
 # Texts are cut into blocks of so many lines, and blocks are matched to requests; a file with many requests spreads over tasks.
 BLOCK = 64
@@ -21,6 +22,10 @@ def _block(line: Column) -> Column:
     return F.floor((line - 1) / BLOCK)
 
 
+def _place_of(path: str, block: str) -> Column:
+    return F.xxhash64(F.col(path), F.col(block).cast("long"))
+
+
 def line_context(files: DataFrame, requests: DataFrame, radius: int = 30) -> DataFrame:
     """``request_id, context`` for ``request_id, file_path, line[, radius]``.
 
@@ -35,7 +40,11 @@ def line_context(files: DataFrame, requests: DataFrame, radius: int = 30) -> Dat
         (F.col("line").cast("long") + reach).alias("last"),
     )
     requests = cut(requests, "context-requests")
-    asked = semi_join_by_size(files.select("file_path", "text"), requests.select("file_path").distinct(), ["file_path"])
+    # a filter of the scan if few files are asked for; else no text travels to find its size
+    paths = cut(requests.select("file_path").distinct(), "context-paths")
+    asked = files.select("file_path", "text")
+    if fits_broadcast(paths):
+        asked = asked.join(F.broadcast(paths), "file_path", "left_semi")
     sizes = asked.select("file_path", line_count(F.col("text"), TEXT_MODE_NEWLINE).alias("n_lines"))
     # cut what lies past the end before a request is spread over its blocks
     placed = cut(
@@ -49,8 +58,12 @@ def line_context(files: DataFrame, requests: DataFrame, radius: int = 30) -> Dat
         "last",
         F.explode(F.sequence(_block(F.col("first")), _block(F.col("last")))).alias("block"),
     )
-    # one row per block of lines, and only the blocks that are asked for reach the join
+    wanted = cut(wanted, "context-blocks")
+    # one row per block of lines; a bitmap stops most blocks that nobody asks for before the join moves their text, the only time it travels
     blocks = asked.select("file_path", F.posexplode(line_blocks(F.col("text"), BLOCK)).alias("block", "lines"))
+    named = wanted.select(_place_of("file_path", "block").alias("_place")).distinct()
+    bits = bits_for(named.count())
+    blocks = may_be_in(blocks.withColumn("_place", _place_of("file_path", "block")), "_place", membership(named, "_place", bits), bits).drop("_place")
     before = (F.col("block") * BLOCK).cast("int")
     skipped = F.greatest(F.lit(0), (F.col("first") - 1).cast("int") - before)
     number = before + skipped + 1

@@ -289,6 +289,23 @@ def test_edges_off_every_path_take_no_part(spark, monkeypatch):
     assert max(sizes["path-forward"] + sizes["path-backward"]) <= 2
 
 
+def test_text_travels_once_for_context(spark, monkeypatch):
+    """Many files: no join moves a text to find its size, and of a long file only the blocks asked for reach the join."""
+    from skein.operators import context
+
+    monkeypatch.setattr(context, "fits_broadcast", lambda df: False)
+    joins = []
+    join = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, *a, **k: joins.append((self, a)) or join(self, other, *a, **k))
+    files = spark.createDataFrame([(f"f{i}", "\n".join(f"line {n}" for n in range(1, 641))) for i in range(20)], "file_path string, text string")
+    asked = spark.createDataFrame([(f"r{i}", f"f{i}", 130, 1) for i in range(10)] + [("lost", "gone", 1, 1)], "request_id string, file_path string, line int, radius int")
+    got = {r.request_id: r.context for r in line_context(files, asked).collect()}
+    assert got == {f"r{i}": "129: line 129\n130: line 130\n131: line 131" for i in range(10)} | {"lost": "Error reading file: [Errno 2] No such file or directory: 'gone'"}
+    assert not [a for df, a in joins if "text" in df.columns]
+    (blocks,) = [df for df, a in joins if "lines" in df.columns and a and isinstance(a[0], list)]
+    assert blocks.count() < 20
+
+
 def test_semantic_equals_numpy(spark, monkeypatch):
     from skein.operators import semantic
 
