@@ -13,7 +13,7 @@ from skein.functions.paths import base_name_matches, directory_matches
 from skein.functions.patterns import matches, may_match_file
 from skein.functions.text import strip
 from skein.operators.multi_search import find_literals
-from skein.session import cut
+from skein.session import cut, semi_join_by_size
 from skein.sources.lines import numbered_lines, searchable
 
 # Expressions that no text can be told from, tested in one pass over the lines.
@@ -84,7 +84,7 @@ def grep_requests(
 
     Equal patterns are searched once. Answers ``request_id`` and the columns of ``grep``. Null patterns have no answer.
 
-    All patterns are searched in one pass over the files (see ``multi_search``); a task gives out no more places of a literal than the limit. Only expressions
+    All patterns are searched in one pass over the files, with a limit after one over a share of them (see ``multi_search``); a task gives out no more places of a literal than the limit. Only expressions
     without any text of their own, such as ``[a-z]*``, are tested line by line.
     """
     requests, top = with_limits(requests, limit)
@@ -96,6 +96,11 @@ def grep_requests(
         met = ranked(met, ["pattern"], ["file_path", "line_start"], top)
         found = found.unionByName(cut(met.select(*found.columns), "grep-expressions"))
     places = ranked(found.select("pattern", "file_path", "line_start"), ["pattern"], ["file_path", "line_start"], top)
-    texts = found.filter(F.isnotnull("text")).groupBy("file_path", "line_start").agg(F.first("text").alias("text"))
+    texts = found.filter(F.isnotnull("text"))
+    if top is not None:
+        # only the lines shown travel
+        places = cut(places, "grep-places")
+        texts = semi_join_by_size(texts, places.select("file_path", "line_start"), ["file_path", "line_start"])
+    texts = texts.groupBy("file_path", "line_start").agg(F.first("text").alias("text"))
     best = places.join(texts, ["file_path", "line_start"])
     return _shown(requests.join(best, "pattern").filter(within_limit()), "request_id")

@@ -5,7 +5,10 @@ regular expression holds. The automaton walks a file once and gives the lines wh
 Python are decided there and then, all others by Spark, in the same stage.
 
 With a limit, a task reads the files of a batch in path order. A pattern that has its first places takes no part in the files after them: once half of the
-patterns are done, the walk goes on with an automaton of the others.
+patterns are done, or those that are done have had many hits, the walk goes on with an automaton of the others.
+
+With a limit, a share of the files is searched first. Where a pattern has as many places there as the limit, the path of the last one is its bar: none of its first places
+among all files lies behind it. Then all files are searched, each for the patterns whose bar it does not pass.
 
 Patterns go to the tasks in pages of bounded size, so their number has no bound; text never leaves the stage that reads it, but for the lines of places that a
 limit may still let through.
@@ -21,9 +24,11 @@ from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.answers import ranked
 from skein.functions.patterns import basic_to_java, is_literal
 from skein.session import cut
 
@@ -34,7 +39,11 @@ HELD = 500_000
 _ROWS_AT_ONCE = 10_000
 # Places of a pattern that are sorted whenever one comes in, and patterns looked at for each file to find those that are done.
 _SORTED_AT_ONCE = 64
-_LOOKED_AT_A_FILE = 500
+_LOOKED_AT_A_FILE = 100
+# Hits of patterns that are done for each pattern that is not: about what an automaton of the others costs.
+_IDLE_HITS = 10
+# One file in so many is searched for the bars.
+BARS_FROM = 16
 
 FOUND = "pattern string, file_path string, line_start int, text string, regex string"
 
@@ -205,6 +214,8 @@ class Matcher:
         self.sought = [self._sought(i) for i in range(len(patterns))]
         self.ids: Sequence[int] = [i for i in range(len(patterns)) if self.sought[i] or not patterns[i][1]]
         self.automaton = self._automaton(self.ids)
+        # ends of literals that were not wanted any more
+        self.idle = 0
 
     def _sought(self, i: int) -> list[tuple[str, int]]:
         """The texts to look for, a line break standing for the start of a line, and what their ends say."""
@@ -243,7 +254,7 @@ class Matcher:
     def only(self, ids: Sequence[int]) -> Matcher:
         """The same for some of the patterns, under their numbers here."""
         few = copy(self)
-        few.ids = ids
+        few.ids, few.idle = ids, 0
         few.everywhere = [i for i in ids if not self.patterns[i][1]]
         few.automaton = self._automaton(ids)
         return few
@@ -261,7 +272,7 @@ class Matcher:
                     found[i] = list(range(len(lines) if most is None or self.patterns[i][2] else min(most, len(lines))))
         if self.automaton is None:
             return found
-        decided, compiled, ends, line = self.decided, self.compiled, None, 0
+        decided, compiled, ends, line, idle = self.decided, self.compiled, None, 0, 0
         tested: dict[int, int] = {}
         # with a line break before it every line starts behind one
         for end, numbers in self.automaton.iter("\n" + text):
@@ -277,7 +288,10 @@ class Matcher:
                 if got is None:
                     # an empty list of a pattern that is not wanted closes it
                     found[i] = got = [] if wanted(i) else _CLOSED
-                if got is _CLOSED or got and (got[-1] == line or decided[i] and most is not None and len(got) >= most):
+                if got is _CLOSED:
+                    idle += 1
+                    continue
+                if got and (got[-1] == line or decided[i] and most is not None and len(got) >= most):
                     continue
                 if says == _FROM_HERE:
                     start = end - length - (ends[line - 1] if line else 0)
@@ -290,6 +304,7 @@ class Matcher:
                     if not compiled[i].search(lines[line]):
                         continue
                 got.append(line)
+        self.idle += idle
         return {i: numbers for i, numbers in found.items() if numbers}
 
 
@@ -381,22 +396,24 @@ class _Page:
         return self.broadcast.value
 
 
-def _search(page: _Page, most: int | None):
+def _search(page: _Page, most: int | None, bars: Broadcast | None = None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, held = _matcher(page), Held(most)
+        held.bars.update(bars.value if bars else {})
         rows: list[tuple] = []
         for batch in batches:
             # a path as a tuple, the empty one for null, which comes first in Spark's order too
             keys = [() if path is None else (path,) for path in batch.column("file_path").to_pylist()]
             order = range(len(keys)) if most is None else sorted(range(len(keys)), key=keys.__getitem__)
             texts, known, due = batch.column("text"), whole, 0
+            whole.idle = 0
             for at, place in enumerate(order):
                 path = keys[place]
-                if most is not None and at >= due:
+                if most is not None and (at >= due or known.idle >= _IDLE_HITS * len(known.ids)):
                     left = held.open(known.ids, path)
                     if not left:
                         break
-                    if len(left) <= len(known.ids) // 2:
+                    if len(left) <= len(known.ids) // 2 or len(left) < len(known.ids) and known.idle >= _IDLE_HITS * len(left):
                         known = whole.only(left)
                     due = at + 1 + len(known.ids) // _LOOKED_AT_A_FILE
                 text = texts[place].as_py()
@@ -429,11 +446,26 @@ def pages_of(patterns: DataFrame) -> tuple[DataFrame, int]:
     return patterns.withColumn("page", F.pmod(F.xxhash64("pattern"), F.lit(pages)).cast("int")), pages
 
 
+def _places(scope: DataFrame, page: _Page, most: int | None, bars: Broadcast | None = None) -> DataFrame:
+    rows = scope.select("file_path", "text").mapInArrow(_search(page, most, bars), FOUND)
+    return rows.filter(F.isnull("regex") | F.rlike("text", F.col("regex"))).drop("regex")
+
+
+def _bars(scope: DataFrame, page: _Page, most: int) -> dict[int, tuple]:
+    """The path of the last of the first ``most`` places in a share of the files, by the number of the pattern; patterns with fewer places have none."""
+    share = scope.filter(F.pmod(F.xxhash64("file_path"), F.lit(BARS_FROM)) == 0)
+    places = _places(share, page, most).select("pattern", "file_path", "line_start")
+    last = ranked(places, ["pattern"], ["file_path", "line_start"], most).filter(F.col("rank") == most).select("pattern", "file_path")
+    paths = {pattern: () if path is None else (path,) for pattern, path in last.collect()}
+    return {i: paths[r[0]] for i, r in enumerate(page.value) if r[0] in paths}
+
+
 def find_literals(scope: DataFrame, patterns: DataFrame, dialect: str, most: int | None = None) -> tuple[DataFrame, list[str]]:
     """Places ``pattern, file_path, line_start, text`` of all ``patterns(pattern)`` in ``scope(file_path, text)``, and the expressions without a literal.
 
-    Of a literal pattern, and of an expression that Python decides, every task gives out at most ``most`` places, which hold the first ``most`` of its files. ``text`` is null where another row has the text of
-    the same line. Expressions that no text can be told from are not searched: they are answered as a list.
+    Of a literal pattern, and of an expression that Python decides, every task gives out at most ``most`` places. With ``most``, places that cannot be among the first ``most`` of
+    a pattern may be missing; those first ones are all there. ``text`` is null where another row has the text of the same line. Expressions that no text can be told from are
+    not searched: they are answered as a list.
     """
     spark = scope.sparkSession
     paged, pages = pages_of(patterns)
@@ -443,8 +475,9 @@ def find_literals(scope: DataFrame, patterns: DataFrame, dialect: str, most: int
         read = [(pattern, *literal_of(pattern, dialect)) for pattern in sorted(asked)]
         others += [pattern for pattern, literal, expression in read if expression is not None and not literal]
         page = spark.sparkContext.broadcast([r for r in read if r[1] or r[2] is None])
-        rows = scope.select("file_path", "text").mapInArrow(_search(_Page(page), most), FOUND)
-        rows = rows.filter(F.isnull("regex") | F.rlike("text", F.col("regex"))).drop("regex")
-        found.append(cut(rows, "grep-found"))
-        page.unpersist()
+        bars = spark.sparkContext.broadcast(_bars(scope, _Page(page), most)) if most else None
+        found.append(cut(_places(scope, _Page(page), most, bars), "grep-found"))
+        for used in (page, bars):
+            if used is not None:
+                used.unpersist()
     return reduce(DataFrame.unionByName, found), others

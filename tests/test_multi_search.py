@@ -9,7 +9,7 @@ import pytest
 
 from skein.functions.patterns import basic_to_java
 from skein.operators.grep import grep, grep_requests
-from skein.operators import name_index
+from skein.operators import grep as grep_module, multi_search, name_index
 from skein.operators.multi_search import Held, Matcher, _Page, _search, literal_of, read_expression, required_literal
 from skein.operators.name_index import name_grams
 from skein.operators.symbol_search import search_substring
@@ -197,3 +197,43 @@ def test_patterns_that_have_their_places_leave_the_walk(monkeypatch):
     files = [(f"f{i:03}", "one two three four\nfive six") for i in range(200)]
     rows = searched(["one", "two", "three", "four", "five", "six", "none"], files, 2)
     assert len(rows) == 12 and walked and min(walked) == 1
+
+
+def test_a_pattern_with_its_places_and_many_hits_leaves_the_walk(monkeypatch):
+    """One common word among many rare ones is not met all over the files that follow."""
+    walked = []
+    monkeypatch.setattr(Matcher, "only", lambda self, ids, only=Matcher.only: walked.append(len(ids)) or only(self, ids))
+    rare = [f"rare{i:02}" for i in range(50)]
+    files = [(f"f{i:03}", "common " * 400 + "\n" + rare[i % 50] * (i < 50)) for i in range(200)]
+    rows = searched(["common", *rare], files, 2)
+    assert len(rows) == 52 and walked == [50]
+
+
+def test_tasks_leave_out_places_behind_the_bar(spark, monkeypatch):
+    """A share of the files tells how far the first places reach; many tasks do not give out the limit each, and the answers are those of single searches."""
+    kept = {}
+
+    def write(df, label, cut=multi_search.cut):
+        kept[label] = cut(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(multi_search, "cut", write)
+    rng = random.Random(9)
+    rows = [(f"d{i:04}", "\n".join(rng.choice(["get user", "set user", "get, x1", "x"]) for _ in range(4))) for i in range(1000)]
+    rows += [("d0000", "get once more"), ("d0990", "late\nlate"), ("d0995", "late"), (None, "get none"), ("d0500", None)]
+    files = spark.createDataFrame(rows, "file_path string, text string").repartition(40)
+    patterns = ["get", "user", "late", "^get,", r"\buser\b", "nothing", "[0-9]"]
+    asked = spark.createDataFrame([(p, p) for p in patterns], "request_id string, pattern string")
+    got = grep_requests(files, asked, limit=5).collect()
+    assert kept["grep-found"].filter("pattern = 'get'").count() < 40 * 5 / 2
+    for p in patterns:
+        want = [(r.file_path, r.line_start) for r in grep(files, p, limit=5).collect() if r.file_path is not None]
+        assert sorted((r.file_path, r.line_start) for r in got if r.request_id == p) == sorted(want), p
+
+
+def test_only_lines_that_are_shown_are_joined(spark, monkeypatch):
+    places = []
+    monkeypatch.setattr(grep_module, "semi_join_by_size", lambda big, keys, on, join=grep_module.semi_join_by_size: places.append(keys.count()) or join(big, keys, on))
+    files = spark.createDataFrame([(f"f{i:03}", "get\nget") for i in range(100)], "file_path string, text string").repartition(10)
+    asked = spark.createDataFrame([("r", "get")], "request_id string, pattern string")
+    assert len(grep_requests(files, asked, limit=3).collect()) == 3 and places == [3]
