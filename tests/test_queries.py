@@ -289,6 +289,32 @@ def test_edges_off_every_path_take_no_part(spark, monkeypatch):
     assert max(sizes["path-forward"] + sizes["path-backward"]) <= 2
 
 
+def test_short_paths_need_no_search(spark, monkeypatch):
+    """Paths of one and two edges come from the edges at the ends alone; for the other pairs no size check runs a job of its own."""
+    edges = [("s", "s", "also"), ("s", "p2", "calls"), ("s", "p10", None), ("s", "p10", "calls"), ("p10", "t", "uses"), ("p10", "t", None), ("p2", "t", "calls")]
+    edges += [(f"x{i}", "t", "calls") for i in range(9)] + [("p2", "s", "calls"), ("t", "s", "calls"), ("s", None, "calls"), (None, "t", "calls")]
+    table = spark.createDataFrame(edges * 2, "from_qualified string, to_qualified string, relation string")
+    symbols = spark.createDataFrame([(n,) for n in ("s", "t", "p2", "p10", "x1", "x2")], "qualified_name string")
+    ends = [("s", "t"), ("s", "s"), ("p2", "p2"), ("t", "p2"), ("x1", "t"), ("x1", "s"), ("x1", "x2"), ("s", "p10")]
+    asked = spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in ends], "request_id string, from_qualified string, to_qualified string")
+    labels, write = [], shortest_path.cut
+    monkeypatch.setattr(shortest_path, "cut", lambda df, label: labels.append(label) or write(df, label))
+    got = {r.request_id: [tuple(s) for s in r.path] for r in path_between(symbols, table, asked, 3).collect()}
+    assert got == {
+        "s-t": [("p10", None), ("t", None)],
+        "s-s": [("s", "also")],
+        "p2-p2": [("s", "calls"), ("p2", "calls")],
+        "t-p2": [("s", "calls"), ("p2", "calls")],
+        "x1-t": [("t", "calls")],
+        "x1-s": [("t", "calls"), ("s", "calls")],
+        "x1-x2": [],
+        "s-p10": [("p10", None)],
+    }
+    assert "path-links" not in labels and "path-codes" not in labels
+    one = {r.request_id: len(r.path) for r in path_between(symbols, table, asked, 1).collect()}
+    assert one == {"s-t": 0, "s-s": 1, "p2-p2": 0, "t-p2": 0, "x1-t": 1, "x1-s": 0, "x1-x2": 0, "s-p10": 1}
+
+
 def test_text_travels_once_for_context(spark, monkeypatch):
     """Many files: no join moves a text to find its size, and of a long file only the blocks asked for reach the join."""
     from skein.operators import context
