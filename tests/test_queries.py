@@ -315,6 +315,31 @@ def test_short_paths_need_no_search(spark, monkeypatch):
     assert one == {"s-t": 0, "s-s": 1, "p2-p2": 0, "t-p2": 0, "x1-t": 1, "x1-s": 0, "x1-x2": 0, "s-p10": 1}
 
 
+def test_paths_are_the_same_with_large_tables(spark, monkeypatch):
+    """Nothing is small enough to be broadcast, the last nodes are not looked for, and pairs without links at both ends are not searched."""
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(40)]
+    edges = sorted({(rng.choice(names[:36]), rng.choice(names[4:]), rng.choice(["calls", "imports"])) for _ in range(70)})
+    pairs = sorted({(rng.choice(names), rng.choice(names)) for _ in range(120)})
+    asked = spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in pairs], "request_id string, from_qualified string, to_qualified string")
+    table = spark.createDataFrame(edges, "from_qualified string, to_qualified string, relation string")
+    symbols = spark.createDataFrame([(n,) for n in names], "qualified_name string")
+    kept, write = {}, shortest_path._kept
+
+    def counted(df, label, text=None):
+        made = write(df, label, text)
+        kept.setdefault(label, []).append(made.rows)
+        return made
+
+    monkeypatch.setattr(shortest_path, "_kept", counted)
+    monkeypatch.setattr(shortest_path, "NAMED_ROWS", 1)
+    monkeypatch.setattr(shortest_path, "HASHED_ROWS", 0)
+    got = {r.request_id: [tuple(s) for s in r.path] for r in path_between(symbols, table, asked, 5).collect()}
+    assert got == {f"{a}-{b}": brute_path(edges, set(names), a, b, 5) for a, b in pairs}
+    starts, ends = {f for f, _, _ in edges}, {t for _, t, _ in edges}
+    assert kept["path-pending"][0] <= sum(a in starts and b in ends for a, b in pairs)
+
+
 def test_text_travels_once_for_context(spark, monkeypatch):
     """Many files: no join moves a text to find its size, and of a long file only the blocks asked for reach the join."""
     from skein.operators import context
